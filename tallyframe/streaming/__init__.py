@@ -1,0 +1 @@
+"""Nothing here: the engine this one matches has no streams, windows over time or late data."""
