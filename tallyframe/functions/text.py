@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.numeric import as_column, num
 
@@ -19,8 +21,14 @@ DAY_FIRST_DATE = r"^(\d{1,2})[./](\d{1,2})[./](\d{4})(?:\s+\d{1,2}:\d{2}(?::\d{2
 CODE_SIZED = 1e12
 
 
+# The same white space as single characters.
+SPACE_CHARACTERS = (
+    " \t\n\v\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
+
 def trim_all(c: Column | str) -> Column:
-    return F.regexp_replace(as_column(c).cast("string"), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(as_column(c).cast("string"), F.lit(SPACE_CHARACTERS))
 
 
 def point_decimal(c: Column) -> Column:
@@ -35,53 +43,61 @@ def parse_date_text(c: Column | str) -> Column:
     Takes an ISO start, or day first with points or slashes and an optional time.
     Days that are not in the calendar are no dates; a time alone is none either.
     """
-    v = trim_all(c)
-    iso = F.element_at(F.split(v, "T"), 1)
-    day, month, year = (F.regexp_extract(v, DAY_FIRST_DATE, i) for i in (1, 2, 3))
-    day_first = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return (
-        F.when(v.rlike(ISO_DATE_START) & F.left(iso, F.lit(10)).try_cast("date").isNotNull(), iso)
-        .when(v.rlike(DAY_FIRST_DATE) & (year >= "0100") & day_first.try_cast("date").isNotNull(), day_first)
-    )
+    return _date_of(trim_all(c))
 
 
 def parse_number_text(c: Column | str) -> Column:
     """Double of a number written with a point or comma and spaces between thousands, else null."""
-    v = point_decimal(trim_all(c))
-    return F.when(v.rlike(NUMBER), num(v)).otherwise(F.lit(None).cast("double"))
+    return _number_of(point_decimal(trim_all(c)))
+
+
+def _date_of(trimmed: Column) -> Column:
+    iso = F.substring_index(trimmed, "T", 1)
+    iso_day = F.left(iso, F.lit(10)).try_cast("date")
+    day_first = F.regexp_replace(trimmed, DAY_FIRST_DATE, "$3-$2-$1").try_cast("date")
+    return F.when(trimmed.rlike(ISO_DATE_START), F.when(iso_day.isNotNull(), iso)).when(
+        trimmed.rlike(DAY_FIRST_DATE) & (F.year(day_first) >= 100), day_first.cast("string")
+    )
 
 
-def clean_cell(c: Column | str) -> Column:
-    """Struct ``kind, text, number`` of a raw text cell.
+def _number_of(packed: Column) -> Column:
+    return F.when(packed.rlike(NUMBER), num(packed))
+
+
+def clean_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Raw text columns as structs ``kind, text, number``.
 
     ``kind`` is ``date``, ``number`` or ``text`` and null for an empty cell; ``text``
-    holds the ISO date, the canonical number or the trimmed text.
+    holds the ISO date, the canonical number or the trimmed text. Each step is a projection
+    of its own, so that a cell is trimmed and parsed once and the generated code stays small.
     """
-    v = trim_all(c)
-    date = parse_date_text(v)
-    number = parse_number_text(v)
-    is_number = F.abs(number) < CODE_SIZED
-    filled = ~v.rlike(EMPTY_CELL)
-    kind = F.when(filled, F.when(date.isNotNull(), "date").when(is_number, "number").otherwise("text"))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(filled, F.coalesce(date, F.when(is_number, point_decimal(v)), v)).alias("text"),
-        F.when(kind == "number", number).alias("number"),
-    )
+    return _typed_cells(df, columns, EMPTY_CELL, _date_of, CODE_SIZED)
+
 
+def fetched_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns fetched as text as ``kind, text, number``: blank is null, numbers are parsed, dates are text."""
+    return _typed_cells(df, columns, "^$", lambda _: F.lit(None).cast("string"), float("inf"))
 
-def fetched_cell(c: Column | str) -> Column:
-    """Struct ``kind, text, number`` of a cell fetched as text: blank is null, numbers are parsed, no dates."""
-    v = trim_all(c)
-    number = parse_number_text(v)
-    usable = number.isNotNull() & (F.abs(number) < float("inf"))
-    kind = F.when(v != "", F.when(usable, "number").otherwise("text"))
-    return F.struct(
-        kind.alias("kind"),
-        F.when(v != "", F.when(usable, point_decimal(v)).otherwise(v)).alias("text"),
-        F.when(kind == "number", number).alias("number"),
+
+def _typed_cells(df, columns, empty, date_of, number_limit) -> DataFrame:
+    at = lambda step, n: F.col(f"`__{step}_{n}`")
+    names = [f"__{step}_{n}" for step in ("v", "p", "d", "n") for n in columns]
+    trimmed = df.withColumns({f"__v_{n}": trim_all(n) for n in columns})
+    packed = trimmed.withColumns({f"__p_{n}": point_decimal(at("v", n)) for n in columns})
+    parsed = packed.withColumns(
+        {f"__d_{n}": date_of(at("v", n)) for n in columns} | {f"__n_{n}": _number_of(at("p", n)) for n in columns}
     )
 
+    def cell(n: str) -> Column:
+        v, date, number = at("v", n), at("d", n), at("n", n)
+        is_number = date.isNull() & (F.abs(number) < number_limit)
+        filled = ~v.rlike(empty)
+        kind = F.when(filled, F.when(date.isNotNull(), "date").when(is_number, "number").otherwise("text"))
+        text = F.coalesce(date, F.when(is_number, at("p", n)), v)
+        return F.struct(kind.alias("kind"), F.when(filled, text).alias("text"), F.when(is_number, number).alias("number"))
+
+    return parsed.withColumns({n: cell(n) for n in columns}).drop(*names)
+
 
 # Cyrillic letters written with more than one Latin letter.
 MULTI_LETTER = {

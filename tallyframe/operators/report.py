@@ -17,6 +17,7 @@ from tallyframe.functions.numeric import as_column, finite, num
 from tallyframe.functions.text import point_decimal, trim_all
 from tallyframe.operators.metrics import Agg, Metric, MetricGroup
 from tallyframe.operators.views import Calc
+from tallyframe.session import shared_folder
 
 # Words that mark a total row.
 TOTAL_KEYWORDS = ("итого", "всего", "total")
@@ -26,7 +27,7 @@ CODE_LIKE = r"[:/]|^0\d"
 METRIC_SHARE = 0.6
 SPARSE_HEADER_SHARE = 0.6
 PREVIEW_NODES = 200
-NO_GROUP = "Без группы"
+NO_GROUP = "(без группы)"
 # Rows per block of the carry: the most that one task puts in order.
 CARRY_BLOCK = 65_536
 DELTA_EPSILON = 1e-9
@@ -125,43 +126,46 @@ def report_columns(header: Sequence[Sequence[str]], key_columns: Sequence[int],
 
 
 def classify_rows(matrix: DataFrame, layout: Layout) -> DataFrame:
-    """Data rows with ``keys`` (trimmed, null where empty), ``level``, ``kind`` and ``label``."""
+    """Data rows with ``key0..`` (trimmed, null where empty), ``level``, ``kind`` and ``label``."""
+    depth = len(layout.key_columns)
+    deepest_first = [(i, F.col(f"key{i}")) for i in reversed(range(depth))]
+
     def key(i: int) -> Column:
         cell = F.get("cells", F.lit(i))
         return F.when(~is_empty(cell, layout.empty_tokens), trim_all(cell))
 
-    depth = len(layout.key_columns)
-    rows = matrix.where(F.col("row_idx") >= layout.header_rows)
-    rows = rows.withColumn("keys", F.array(*[key(i) for i in layout.key_columns]))
-    deepest_first = [F.get("keys", F.lit(i)) for i in reversed(range(depth))]
-    level = F.coalesce(*[F.when(k.isNotNull(), F.lit(depth - 1 - n)) for n, k in enumerate(deepest_first)], F.lit(-1))
-
     def is_total(k: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.lower(k).contains(w.lower()) for w in layout.total_keywords], F.lit(False))
 
-    total_label = F.coalesce(*[F.when(is_total(k), k) for k in deepest_first], F.lit(None).cast("string"))
-    kind = F.when(total_label.isNotNull(), "total").when(level == depth - 1, "leaf").otherwise("node")
-    label = F.coalesce(total_label, *deepest_first, F.lit(""))
-    return rows.withColumns({"level": level, "kind": kind, "label": label})
+    rows = matrix.where(F.col("row_idx") >= layout.header_rows)
+    rows = rows.withColumns({f"key{i}": key(c) for i, c in enumerate(layout.key_columns)})
+    rows = rows.withColumns({
+        "level": F.coalesce(*[F.when(k.isNotNull(), F.lit(i)) for i, k in deepest_first], F.lit(-1)),
+        "__total": F.coalesce(*[F.when(is_total(k), k) for _, k in deepest_first], F.lit(None).cast("string")),
+    })
+    kind = F.when(F.col("__total").isNotNull(), "total").when(F.col("level") == depth - 1, "leaf").otherwise("node")
+    label = F.coalesce("__total", *[k for _, k in deepest_first], F.lit(""))
+    return rows.withColumns({"kind": kind, "label": label}).drop("__total")
 
 
 def carry_forward(rows: DataFrame, events: Mapping[str, Column], block: int = CARRY_BLOCK) -> DataFrame:
     """Add, per event column, its last non-null value up to each row of its file.
 
     A file may hold a large part of all rows, so it is cut into blocks of consecutive
-    rows: each block is carried on its own, the blocks' last values are carried over the
-    blocks, and the two are joined.
+    rows: each block is carried on its own, what it ends with is carried over the blocks,
+    and the two are joined. Both sides come from one shuffle by block.
     """
     cut = rows.withColumns({"__block": F.floor(F.col("row_idx") / block), **{f"__e_{n}": c for n, c in events.items()}})
     inside = Window.partitionBy("file_id", "__block").orderBy("row_idx")
     within = cut.withColumns({f"__in_{n}": F.last(f"__e_{n}", ignorenulls=True).over(inside) for n in events})
-    set_at = {n: F.when(F.col(f"__e_{n}").isNotNull(), F.col("row_idx")) for n in events}
-    ends = cut.groupBy("file_id", "__block").agg(*[F.max_by(f"__e_{n}", at).alias(f"__end_{n}") for n, at in set_at.items()])
+    ends = within.groupBy("file_id", "__block").agg(
+        F.max_by(F.struct(*[f"__in_{n}" for n in events]), "row_idx").alias("__end")
+    )
     earlier = Window.partitionBy("file_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(
         F.col("file_id").alias("__f"),
         F.col("__block").alias("__b"),
-        *[F.last(f"__end_{n}", ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in events],
+        *[F.last(F.col("__end")[f"__in_{n}"], ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in events],
     )
     joined = within.join(before, (F.col("file_id") == F.col("__f")) & (F.col("__block") == F.col("__b")))
     carried = joined.withColumns({n: F.coalesce(f"__in_{n}", f"__before_{n}") for n in events})
@@ -171,7 +175,7 @@ def carry_forward(rows: DataFrame, events: Mapping[str, Column], block: int = CA
 def _carry_keys(rows: DataFrame, depth: int, moves: Column, block: int) -> DataFrame:
     """Add ``k0..`` with each row's ancestor keys: a filled key sets its level and clears the deeper ones."""
     def event(i: int) -> Column:
-        own = F.get("keys", F.lit(i))
+        own = F.col(f"key{i}")
         return F.when(moves, F.when(own.isNotNull(), own).when(F.col("level") < i, F.lit("")))
 
     return carry_forward(rows, {f"k{i}": event(i) for i in range(depth)}, block)
@@ -222,10 +226,11 @@ def hierarchy_preview(matrix: DataFrame, layout: Layout, max_nodes: int | None =
     Total rows are left out; a row's path ends at its first empty key.
     """
     rows = classify_rows(matrix, layout).where((F.col("kind") != "total") & (F.col("level") >= 0))
-    gap = F.array_position(F.transform("keys", lambda k: k.isNull()), True)
-    run = F.when(gap > 0, gap - 1).otherwise(F.size("keys")).cast("int")
-    length = F.explode(F.sequence(F.lit(1), run))
-    parts = rows.where(run > 0).select("file_id", "row_idx", "keys", length.alias("length"))
+    keys = [F.col(f"key{i}") for i in range(len(layout.key_columns))]
+    run = F.coalesce(*[F.when(k.isNull(), F.lit(i)) for i, k in enumerate(keys)], F.lit(len(keys)))
+    rows = rows.withColumn("run", run).where(F.col("run") > 0)
+    length = F.explode(F.sequence(F.lit(1), F.col("run")))
+    parts = rows.select("file_id", "row_idx", F.array(*keys).alias("keys"), length.alias("length"))
     paths = parts.groupBy(F.slice("keys", 1, F.col("length")).alias("path")).agg(
         F.min(F.struct("file_id", "row_idx", "length")).alias("seen")
     )
@@ -256,37 +261,47 @@ def roll_up(values: DataFrame, depth: int, by: Sequence[str] = ()) -> DataFrame:
     """Rolled-up cells ``path, column, value, own, children_sum`` of nodes in long form.
 
     A node's value is its own where it has one, else the sum over its direct children,
-    which take theirs from their own children. One shuffle of sums per level, deepest
-    first; ``depth`` is the number of key columns. A synthetic root (empty path) sums the
-    top nodes that are no totals, unless the file has a root of its own.
+    which take theirs from their own children; ``depth`` is the number of key columns. A
+    synthetic root (empty path) sums the top nodes that are no totals, unless the file has
+    a root of its own.
+
+    The nodes are written once to the shared folder, partitioned by level, and the levels
+    are then rolled deepest first: a level is one sum over the level below, read back from
+    the folder, joined to its own nodes. Nothing is computed twice, and a lost executor
+    repeats one level at most.
     """
+    spark = values.sparkSession
+    folder = shared_folder(spark)
     names = [*by, "path", "column"]
-    level_of = F.size("path")
-    parts: list[DataFrame] = []
-    below: DataFrame | None = None
-    for size in range(depth, -1, -1):
-        level = values.where(level_of == size)
-        if below is None:
-            rolled = level.withColumn("children_sum", F.lit(None).cast("double"))
-        else:
-            rolled = level.join(below, names, "left")
-        rolled = rolled.withColumn("value", F.coalesce("own", "children_sum"))
-        parts.append(rolled.select(*names, "is_total", "value", "own", "children_sum"))
-        parent = F.slice("path", 1, size - 1).alias("path") if size else None
-        if size:
-            below = parts[-1].groupBy(*by, parent, "column").agg(F.sum("value").alias("children_sum"))
+    cells = [*names, "is_total", "own"]
+    values.select(*cells, F.size("path").alias("size")).write.partitionBy("size").parquet(f"{folder}/nodes")
+    schema = values.select(*cells).withColumn("size", F.lit(0)).schema
+    nodes = spark.read.schema(schema).parquet(f"{folder}/nodes")
+
+    none = F.lit(None).cast("double")
+    deepest = nodes.where(F.col("size") == depth).withColumn("children_sum", none)
+    below, parts = deepest.withColumn("value", F.col("own")), [deepest.withColumn("value", F.col("own"))]
+    for size in range(depth - 1, -1, -1):
+        parent = F.slice("path", 1, size).alias("path")
+        sums = below.groupBy(*by, parent, "column").agg(F.sum("value").alias("children_sum"))
+        level = nodes.where(F.col("size") == size).join(sums, names, "left")
+        level.withColumn("value", F.coalesce("own", "children_sum")).write.parquet(f"{folder}/level{size}")
+        level_schema = schema.add("children_sum", "double").add("value", "double") if size == depth - 1 else level_schema
+        below = spark.read.schema(level_schema).parquet(f"{folder}/level{size}")
+        parts.append(below)
     whole = reduce(DataFrame.unionByName, parts)
 
-    known = values.select(*by, F.col("path").alias("parent")).distinct()
-    tops = whole.where((level_of > 0) & ~F.col("is_total")).withColumn("parent", F.slice("path", 1, F.size("path") - 1))
+    size = F.col("size")
+    known = nodes.select(*by, F.col("path").alias("parent")).distinct()
+    tops = whole.where((size > 0) & ~F.col("is_total")).withColumn("parent", F.slice("path", 1, size - 1))
     tops = tops.join(known, [*by, "parent"], "left_anti")
     root = tops.groupBy(*by, "column").agg(F.sum("value").alias("value"))
     root = root.select(
-        *by, F.array().cast("array<string>").alias("path"), "column", F.lit(False).alias("is_total"),
-        "value", F.lit(None).cast("double").alias("own"), F.col("value").alias("children_sum"),
+        *by, F.array().cast("array<string>").alias("path"), "column", "value", none.alias("own"),
+        F.col("value").alias("children_sum"),
     )
-    own_roots = values.where(level_of == 0).select(*names)
-    return whole.unionByName(root.join(own_roots, names, "left_anti")).drop("is_total")
+    root = root.join(nodes.where(size == 0).select(*names), names, "left_anti")
+    return whole.select(*names, "value", "own", "children_sum").unionByName(root)
 
 
 def entered_values(rolled: DataFrame, columns: Mapping[str, str], calcs: Mapping[str, Calc] | None = None,

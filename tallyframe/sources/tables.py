@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyframe.functions.numeric import as_column, num
-from tallyframe.functions.text import SPACE, clean_cell, trim_all
+from tallyframe.functions.text import SPACE, clean_cells, trim_all
 from tallyframe.operators.filters import CLASSIFICATION
 from tallyframe.operators.report import ReportColumn
 
@@ -97,8 +97,7 @@ def key_value_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def cleaned(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Text columns as ``kind, text, number`` structs of their cleaned cells."""
-    names = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: clean_cell(n) for n in names})
+    return clean_cells(df, columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
 
 
 def drop_empty_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
