@@ -96,13 +96,13 @@ WITH p AS (SELECT l_returnflag AS metric, l_linestatus AS member, l_extendedpric
 s AS (SELECT metric, (max(value) - min(value)) * 0.0005 AS tol FROM p GROUP BY 1),
 o AS (SELECT p.*, CASE WHEN value - lag(value) OVER (PARTITION BY p.metric ORDER BY value) <= tol THEN 0 ELSE 1 END AS starts FROM p JOIN s ON p.metric = s.metric),
 i AS (SELECT *, sum(starts) OVER (PARTITION BY metric ORDER BY value ROWS UNBOUNDED PRECEDING) AS run FROM o)
-SELECT metric, min(value) AS low, max(value) AS high, round(avg(value), 4) AS y, count(DISTINCT (member, value)) AS members,
+SELECT metric, min(value) AS low, max(value) AS high, round(avg(value), 7) AS y, count(DISTINCT (member, value)) AS members,
   count(DISTINCT (member, value)) > 1 AS is_overlap FROM i GROUP BY metric, run""")
 def _(t):
     points = t.lineitem.select(
         F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("member"), F.col("l_extendedprice").alias("value")
     )
-    return rounded(merge_close_values(points, 0.05), 4, "y")
+    return rounded(merge_close_values(points, 0.05), 7, "y")
 
 
 @query("best_ranked_w11", """

@@ -12,8 +12,9 @@ from tallyframe.functions.dates import date_label
 from tallyframe.functions.numeric import as_column, num
 from tallyframe.functions.text import trim_all
 from tallyframe.operators.filters import Filter, apply_filters, visible_columns
-from tallyframe.operators.metrics import RECORD_COUNT, Metric, MetricGroup, MetricPlan
+from tallyframe.operators.metrics import RECORD_COUNT, Metric, MetricGroup, MetricPlan, filled
 from tallyframe.operators.percentile import exact_percentiles
+from tallyframe.session import stored
 
 OTHER_LABEL = "Прочее"
 BREAKDOWN_LIMIT = 1000
@@ -76,6 +77,7 @@ class Breakdown:
         self.plan = MetricPlan(metrics, visible_columns(df))
         self.source = apply_filters(df, filters)
         self.limit = limit
+        self._stored: DataFrame | None = None
         self._label(by, axis)
 
     def _label(self, by: str | None, axis: Axis | None) -> None:
@@ -115,10 +117,15 @@ class Breakdown:
 
     def grouped(self) -> DataFrame:
         """One row per label: keys, record count, partials and metric columns; all labels, in no order."""
-        return self.plan.finish(self._partials())
+        return self.plan.finish(self._partials(self.keys) if self._stored is None else self._stored)
 
-    def _partials(self) -> DataFrame:
-        keys = [f"__{k}" for k in self.keys]
+    def store(self) -> Breakdown:
+        """Aggregate once into the shared folder; rows and totals then come from there."""
+        self._stored = stored(self._partials(self.keys))
+        return self
+
+    def _partials(self, by: Sequence[str]) -> DataFrame:
+        keys = [f"__{k}" for k in by]
         out = self.labelled.groupBy(*keys).agg(*self.plan.row_aggregates())
         wanted = [(a.key, a.column, a.p) for a in self.plan.percentiles]
         if wanted:
@@ -130,7 +137,7 @@ class Breakdown:
             else:
                 values = {name: holistic.select(as_column(name)).scalar() for name, _, _ in wanted}
                 out = out.withColumns(values)
-        return out.withColumnsRenamed({f"__{k}": k for k in self.keys})
+        return out.withColumnsRenamed({f"__{k}": k for k in by})
 
     def _order(self) -> list[Column]:
         if "date_label" in self.keys:
@@ -147,7 +154,7 @@ class Breakdown:
         """Breakdown rows with trimmed labels; rows with a blank label are left out."""
         kept = self._kept()
         trimmed = {k: trim_all(k) for k in self.keys}
-        shown = kept.withColumns(trimmed).where(F.col("label") != "") if self.keys else kept
+        shown = kept.withColumns(trimmed).where(filled("label")) if self.keys else kept
         shown = shown.select(*self.keys, RECORD_COUNT, *map(as_column, self.plan.names))
         return shown.orderBy(*self._order()) if ordered and self.keys else shown
 
@@ -160,10 +167,8 @@ class Breakdown:
         Rows with a blank label count.
         """
         if exact or not self.keys:
-            whole = Breakdown.__new__(Breakdown)
-            whole.plan, whole.limit, whole.keys = self.plan, None, []
-            whole.labelled = self.labelled
-            return whole.grouped().select(RECORD_COUNT, *map(as_column, self.plan.names))
+            whole = self.plan.finish(self._partials([]))
+            return whole.select(RECORD_COUNT, *map(as_column, self.plan.names))
         merged = self._kept().agg(*self.plan.total_aggregates())
         total = self.plan.finish(merged, total=True)
         return total.select(F.coalesce(RECORD_COUNT, F.lit(0)).alias(RECORD_COUNT), *map(as_column, self.plan.names), *self._flag())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.functions.numeric import as_column
 from tallyframe.functions.text import natural_key, normalize_key, trim_all
 from tallyframe.operators.filters import Filter, apply_filters
+from tallyframe.operators.metrics import filled
 
 
 def build_dictionary(pairs: DataFrame, key: str, name: str, order: str, mode: str = "none") -> DataFrame:
@@ -36,5 +37,5 @@ def level_nodes(df: DataFrame, level: str, path: Sequence[Filter] = (), ordered:
     counts = apply_filters(df, path).groupBy(as_column(level).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("record_count")
     )
-    nodes = counts.select(trim_all("value").alias("value"), "record_count").where(F.col("value") != "")
+    nodes = counts.select(trim_all("value").alias("value"), "record_count").where(filled("value"))
     return nodes.orderBy(natural_key("value"), "value") if ordered else nodes

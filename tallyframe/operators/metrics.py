@@ -23,6 +23,15 @@ HOLISTIC = ("COUNT_DISTINCT", "MEDIAN", "PERCENTILE")
 RECORD_COUNT = "record_count"
 
 
+def filled(column: str) -> Column:
+    """Test of a label on grouped rows.
+
+    It also looks at the record count, so that Spark tests each group once and does not
+    move the test down to every data row.
+    """
+    return F.when(F.col(RECORD_COUNT) > 0, as_column(column) != "")
+
+
 @dataclass(frozen=True)
 class Agg:
     """One aggregate of one column; ``p`` is the fraction of a percentile."""

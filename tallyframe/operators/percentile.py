@@ -1,25 +1,32 @@
 """Exact interpolated percentiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here a
-mergeable sketch brackets the wanted rank first; values outside the bracket are
-only counted, so what has to be sorted per group is a sliver of its rows.
+mergeable sketch brackets the wanted rank first; values outside the bracket are only
+counted, and those inside are cut into cells by value. Counts per cell tell which cell
+holds the rank, so what is put in order is one cell of a sliver of the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.numeric import as_column, finite, num
+from tallyframe.session import stored
 
 # The sketch's rank error is 1/ACCURACY of a group; the bracket is wider on both sides.
 ACCURACY = 10_000
 MARGIN = 5 / ACCURACY
+# Cells a bracket is cut into.
+CELLS = 1024
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str, float]]) -> DataFrame:
-    """One row per group of ``keys`` with a column per wanted ``(name, column, fraction)``."""
+    """One row per group of ``keys`` with a column per wanted ``(name, column, fraction)``.
+
+    The brackets, a few numbers per group, are computed at once and stored; the rest is lazy.
+    """
     fractions = sorted({p for _, _, p in wanted})
     bounds = [min(1.0, max(0.0, p + side)) for p in fractions for side in (-MARGIN, MARGIN)]
     cells = [
@@ -41,28 +48,50 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple
             F.get("b", 2 * at + 1).alias("high"),
         )
     )
-    # A few numbers per group: Spark broadcasts them if they fit, else splits the skewed partitions.
+    low, high, v = F.col("low"), F.col("high"), F.col("v")
+    place = F.least(F.floor((v - low) / (high - low) * CELLS), F.lit(CELLS - 1)).cast("int")
+    cell = F.when(v < low, -1).when(v > high, CELLS).when(low == high, 0).otherwise(place)
     same_group = [as_column(k).eqNullSafe(as_column(f"__k_{k}")) for k in group]
-    v = F.col("v")
-    folded = F.when(v < F.col("low"), -float("inf")).when(v > F.col("high"), float("inf")).otherwise(v)
+    by = [as_column(k) for k in group]
+    # All rows below a bracket become one row with their largest value, all above one with their smallest.
+    inside = F.when(v.between(low, high), v)
     counted = (
-        long.join(bracket, same_group)
-        .groupBy(*map(as_column, group), folded.alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("rank"))
+        long.join(stored(bracket), same_group)
+        .select(*by, cell.alias("cell"), inside.alias("inside"), "v", "rank")
+        .groupBy(*by, "cell", "inside")
+        .agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("rank"), F.min("v").alias("least"), F.max("v").alias("most"))
+        .select(*by, "cell", "c", "rank", F.when(F.col("cell") < 0, F.col("most")).otherwise(F.col("least")).alias("v"))
     )
-    upto = F.sum("c").over(Window.partitionBy(*map(as_column, group)).orderBy("v"))
-    low_v = F.min(F.when(F.col("upto") > F.floor("rank"), v))
-    high_v = F.min(F.when(F.col("upto") > F.ceil("rank"), v))
-    picked = (
-        counted.withColumn("upto", upto)
-        .groupBy(*map(as_column, group))
-        .agg(low_v.alias("low"), high_v.alias("high"), F.max("rank").alias("rank"))
+    cells = counted.groupBy(*by, "cell").agg(F.sum("c").alias("c"), F.max("rank").alias("rank"))
+    through = cells.withColumn("through", F.sum("c").over(Window.partitionBy(*by).orderBy("cell")))
+    before = F.col("through") - F.col("c")
+    targets = through.where((F.col("through") > F.floor("rank")) & (before <= F.ceil("rank"))).select(
+        *[as_column(k).alias(f"__k_{k}") for k in group], F.col("cell").alias("__cell"), before.alias("before")
     )
-    part = F.col("rank") - F.floor("rank")
-    # A rank outside its bracket would mean the sketch broke its promise: fail rather than be wrong.
-    inside = (F.abs("low") < float("inf")) & (F.abs("high") < float("inf"))
-    exact = F.when(inside, F.col("low") + part * (F.col("high") - F.col("low"))).otherwise(
-        F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
+    in_target = counted.join(targets, [*same_group, F.col("cell") == F.col("__cell")])
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("v"))
+    row = F.struct("upto", "cell", "v", "c")
+    picked = (
+        in_target.withColumn("upto", upto)
+        .groupBy(*by)
+        .agg(
+            F.min(F.when(F.col("upto") > F.floor("rank"), row)).alias("low"),
+            F.min(F.when(F.col("upto") > F.ceil("rank"), row)).alias("high"),
+            F.max("rank").alias("rank"),
+        )
     )
+
+    def value(row: Column, rank: Column) -> Column:
+        """The row's value; outside the bracket it is known for the nearest rank only.
+
+        A rank further out would mean that the sketch broke its promise: fail rather than be wrong.
+        """
+        known = row["cell"].between(0, CELLS - 1)
+        known = known | (row["cell"] < 0) & (rank == row["upto"] - 1) | (row["cell"] == CELLS) & (rank == row["upto"] - row["c"])
+        return F.when(known, row["v"]).otherwise(F.raise_error(F.lit("percentile rank outside its bracket")).cast("double"))
+
+    rank = F.col("rank")
+    low_value, high_value = value(F.col("low"), F.floor(rank)), value(F.col("high"), F.ceil(rank))
+    exact = low_value + (rank - F.floor(rank)) * (high_value - low_value)
     columns = [F.max(F.when(F.col("item") == i, F.col("exact"))).alias(name) for i, (name, _, _) in enumerate(wanted)]
     return picked.withColumn("exact", exact).groupBy(*map(as_column, keys)).agg(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.functions.numeric import as_column, zero_if_null
 from tallyframe.operators.breakdown import OTHER_LABEL
+from tallyframe.operators.metrics import filled
 from tallyframe.operators.normalize import share
 from tallyframe.operators.views import Calc
 
@@ -17,7 +18,7 @@ MAX_PIVOT_COLUMNS = 10_000
 
 def pivot_axis(cells: DataFrame) -> DataFrame:
     """Distinct labels of the second axis in display order: ascending, the folded rest last."""
-    labels = cells.where(F.col("date_label") != "").select("date_label").distinct()
+    labels = cells.where(filled("date_label")).select("date_label").distinct()
     return labels.orderBy(F.col("date_label") == OTHER_LABEL, "date_label")
 
 
@@ -31,7 +32,7 @@ def axis_values(cells: DataFrame) -> list[str]:
 
 def row_totals(cells: DataFrame, metric: str, calc: Calc | None = None) -> DataFrame:
     """Total per label over its dated cells: a sum, or the formula on summed operands; 0 when empty."""
-    dated = cells.where(F.col("date_label") != "")
+    dated = cells.where(filled("date_label"))
     if calc is None:
         return dated.groupBy("label").agg(zero_if_null(F.sum(as_column(metric))).alias("total"))
     total = calc.column(lambda c: F.sum(as_column(c)))
@@ -41,7 +42,7 @@ def row_totals(cells: DataFrame, metric: str, calc: Calc | None = None) -> DataF
 def pivot(cells: DataFrame, metric: str, values: Sequence[str] | None = None, calc: Calc | None = None) -> DataFrame:
     """Labels down, second axis across, a ``total`` column; largest totals first."""
     values = axis_values(cells) if values is None else list(values)
-    dated = cells.where(F.col("date_label") != "")
+    dated = cells.where(filled("date_label"))
     wide = dated.groupBy("label").pivot("date_label", values).agg(F.first(as_column(metric)))
     if calc is None:
         parts = [zero_if_null(as_column(v)) for v in values]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyframe.functions.numeric import as_column
+from tallyframe.session import stored
 
 CLOSE_PERCENT = 0.5
 
@@ -28,7 +29,7 @@ def merge_close_values(points: DataFrame, tolerance_percent: float = CLOSE_PERCE
     offset = F.col("value") - F.col("__low")
     cell = F.when(tolerance > 0, F.floor(offset / (tolerance / 2)).cast("double")).otherwise(F.col("value"))
     cells = (
-        pairs.join(spans, F.col("metric") == F.col("__m"))
+        pairs.join(stored(spans), F.col("metric") == F.col("__m"))
         .groupBy("metric", cell.alias("cell"))
         .agg(
             F.min("value").alias("low"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -36,3 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tallyframe-")
     return f"{base.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Cuts the lineage, and gives Spark the true size: a small table is then broadcast and a
+    large one joined by shuffle, without a guess.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

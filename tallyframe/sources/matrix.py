@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tallyframe.session import stored
+
 # Delimiter candidates in the order in which ties are decided.
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -23,7 +25,7 @@ def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """``file_id, row_idx, cells`` of delimited files, without a header assumption.
 
     Large files are read in splits by many tasks. A row's index is its place in its split
-    plus the rows of the earlier splits of the file, which are few numbers per file.
+    plus the rows of the earlier splits of the file; these starts are counted at once.
     """
     lines = _lines(spark, path)
     splits = lines.groupBy("file_id", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -41,7 +43,7 @@ def read_matrix(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
         inner = F.regexp_extract(c, r'^\s*"(.*)"\s*$', 1)
         return F.when(c.rlike(r'^\s*".*"\s*$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
 
-    return lines.join(starts, same_split).select(
+    return lines.join(stored(starts), same_split).select(
         "file_id", (F.col("id") + F.col("shift")).alias("row_idx"),
         F.transform(F.split(text, outside, -1), unquote).alias("cells"),
     )
