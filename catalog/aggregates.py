@@ -53,20 +53,35 @@ def _(t):
     return rounded(Breakdown(t.lineitem, metrics, "l_returnflag").rows(), 2, "quantity")
 
 
-@query("median_a6", """
+MEDIAN_SQL = """
 SELECT l_returnflag AS label, count(*) AS record_count, round(median(l_extendedprice), 4) AS mid,
-  round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1""")
+  round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1"""
+PERCENTILE_SQL = """
+SELECT o_orderpriority AS label, count(*) AS record_count, round(quantile_cont(o_totalprice, 0.9), 4) AS p90,
+  round(quantile_cont(o_totalprice, 0.25), 4) AS p25 FROM orders GROUP BY 1"""
+MEDIAN = [Metric("mid", Agg("l_extendedprice", "MEDIAN")), Metric("revenue", Agg("l_extendedprice"))]
+PERCENTILES = [Metric("p90", Agg(PRICE, "PERCENTILE", 0.9)), Metric("p25", Agg(PRICE, "PERCENTILE", 0.25))]
+
+
+@query("median_a6", MEDIAN_SQL)
 def _(t):
-    metrics = [Metric("mid", Agg("l_extendedprice", "MEDIAN")), Metric("revenue", Agg("l_extendedprice"))]
-    return rounded(rounded(Breakdown(t.lineitem, metrics, "l_returnflag").rows(), 4, "mid"), 2, "revenue")
+    return rounded(rounded(Breakdown(t.lineitem, MEDIAN, "l_returnflag").rows(), 4, "mid"), 2, "revenue")
 
 
-@query("percentile_a7", """
-SELECT o_orderpriority AS label, count(*) AS record_count, round(quantile_cont(o_totalprice, 0.9), 4) AS p90,
-  round(quantile_cont(o_totalprice, 0.25), 4) AS p25 FROM orders GROUP BY 1""")
+@query("median_of_large_groups_a6", MEDIAN_SQL)
+def _(t):
+    rows = Breakdown(t.lineitem, MEDIAN, "l_returnflag", one_task_bytes=0).rows()
+    return rounded(rounded(rows, 4, "mid"), 2, "revenue")
+
+
+@query("percentile_a7", PERCENTILE_SQL)
+def _(t):
+    return rounded(Breakdown(t.orders, PERCENTILES, "o_orderpriority").rows(), 4, "p90", "p25")
+
+
+@query("percentile_of_large_groups_a7", PERCENTILE_SQL)
 def _(t):
-    metrics = [Metric("p90", Agg(PRICE, "PERCENTILE", 0.9)), Metric("p25", Agg(PRICE, "PERCENTILE", 0.25))]
-    return rounded(Breakdown(t.orders, metrics, "o_orderpriority").rows(), 4, "p90", "p25")
+    return rounded(Breakdown(t.orders, PERCENTILES, "o_orderpriority", one_task_bytes=0).rows(), 4, "p90", "p25")
 
 
 @query("record_count_a8", "SELECT o_orderstatus AS label, count(*) AS record_count FROM orders GROUP BY 1")

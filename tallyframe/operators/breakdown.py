@@ -13,8 +13,8 @@ from tallyframe.functions.numeric import as_column, num
 from tallyframe.functions.text import trim_all
 from tallyframe.operators.filters import Filter, apply_filters, visible_columns
 from tallyframe.operators.metrics import RECORD_COUNT, Metric, MetricGroup, MetricPlan, filled
-from tallyframe.operators.percentile import exact_percentiles
-from tallyframe.session import stored
+from tallyframe.operators.percentile import exact_percentiles, percentile_aggregates
+from tallyframe.session import ONE_TASK_BYTES, fits_one_task, stored
 
 OTHER_LABEL = "Прочее"
 BREAKDOWN_LIMIT = 1000
@@ -62,7 +62,8 @@ class Breakdown:
     ``rows()`` are the labelled rows, ``total()`` the row re-aggregated from them,
     both as lazy frames. ``limit`` keeps the leading rows only (the interactive
     default is :data:`BREAKDOWN_LIMIT`); the total then covers the kept rows and
-    says so in ``truncated``.
+    says so in ``truncated``. Medians and percentiles of sources over ``one_task_bytes``
+    are computed without gathering a group in one task.
     """
 
     def __init__(
@@ -73,7 +74,9 @@ class Breakdown:
         axis: Axis | None = None,
         filters: Sequence[Filter] = (),
         limit: int | None = None,
+        one_task_bytes: int = ONE_TASK_BYTES,
     ):
+        self.one_task_bytes = one_task_bytes
         self.plan = MetricPlan(metrics, visible_columns(df))
         self.source = apply_filters(df, filters)
         self.limit = limit
@@ -126,10 +129,12 @@ class Breakdown:
 
     def _partials(self, by: Sequence[str]) -> DataFrame:
         keys = [f"__{k}" for k in by]
-        out = self.labelled.groupBy(*keys).agg(*self.plan.row_aggregates())
         wanted = [(a.key, a.column, a.p) for a in self.plan.percentiles]
-        if wanted:
-            holistic = exact_percentiles(self.labelled, keys, wanted)
+        direct = fits_one_task(self.labelled, self.one_task_bytes) if wanted else True
+        extra = percentile_aggregates(wanted) if direct else []
+        out = self.labelled.groupBy(*keys).agg(*self.plan.row_aggregates(), *extra)
+        if not direct:
+            holistic = exact_percentiles(self.labelled, keys, wanted, self.one_task_bytes)
             if keys:
                 other = holistic.withColumnsRenamed({k: f"{k}__2" for k in keys})
                 same = [F.col(k).eqNullSafe(F.col(f"{k}__2")) for k in keys]

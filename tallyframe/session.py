@@ -47,3 +47,16 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Source size up to which a group may be aggregated inside one task.
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
+    """Whether Spark's size estimate of the frame is within the limit; unknown sizes are not."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size)) <= limit
+    except AttributeError:
+        return False
