@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Schemas of tables read before, as a metastore would keep them.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Tables:
     """The test tables of one scale as attributes."""
 
@@ -17,7 +22,10 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
         setattr(self, name, table)
         return table
 

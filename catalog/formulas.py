@@ -36,7 +36,7 @@ FORMULAS = {
     "if_m10": (lambda a, b, c: fx.if_(b > 10, a / b, -1), "CASE WHEN b > 10 THEN a / nullif(b, 0) ELSE -1 END"),
     "sqrt_m11": (lambda a, b, c: fx.sqrt(c), "CASE WHEN c >= 0 THEN sqrt(c) END"),
     "abs_sign_m12": (lambda a, b, c: fx.abs(c) + fx.sign(c) * 10, "abs(c) + sign(c) * 10"),
-    "round_m13": (lambda a, b, c: fx.round(a / b, 1) + fx.round(c / 2), "round(a / nullif(b, 0), 1) + round(c / 2)"),
+    "round_m13": (lambda a, b, c: fx.round(a / b * 1.4142135, 1) + fx.round(c / 2), "round(a / nullif(b, 0) * 1.4142135, 1) + round(c / 2)"),
     "floor_ceil_m14": (lambda a, b, c: fx.floor(c / 2) + fx.ceil(a / 1000), "floor(c / 2) + ceil(a / 1000)"),
     "exp_m15": (lambda a, b, c: fx.exp(c), "exp(c)"),
     "log_m16": (

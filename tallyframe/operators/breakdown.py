@@ -19,7 +19,7 @@ from tallyframe.session import ONE_TASK_BYTES, fits_one_task, stored
 OTHER_LABEL = "Прочее"
 BREAKDOWN_LIMIT = 1000
 # Largest top-N list that is broadcast: a key and a flag per row.
-BROADCAST_KEYS = 100_000
+BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)

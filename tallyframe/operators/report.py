@@ -60,15 +60,35 @@ def parse_metric(c: Column, tokens: Sequence[str] = ()) -> Column:
 # ── detection, one row per file ──────────────────────────────────────────────
 
 
-def column_scores(matrix: DataFrame, header_rows: int | Column = 1, tokens: Sequence[str] = ()) -> DataFrame:
-    """Per file and column: filled cells, plain numbers among them, and whether it is a metric."""
+def _scored_cells(matrix: DataFrame, header_rows: int, tokens: Sequence[str]) -> tuple[DataFrame, list[Column]]:
     cells = matrix.select("file_id", "row_idx", F.posexplode("cells").alias("pos", "cell"))
     text = trim_all("cell")
     filled = (F.col("row_idx") >= header_rows) & ~is_empty(F.col("cell"), tokens)
     number = filled & ~text.rlike(CODE_LIKE) & point_decimal(text).rlike(PLAIN_NUMBER)
-    counts = cells.groupBy("file_id", "pos").agg(F.count_if(filled).alias("filled"), F.count_if(number).alias("numbers"))
-    score = F.coalesce(F.try_divide("numbers", "filled"), F.lit(0.0))
-    return counts.withColumn("is_metric", score > METRIC_SHARE)
+    return cells, [F.count_if(filled).alias("filled"), F.count_if(number).alias("numbers")]
+
+
+def is_metric() -> Column:
+    return F.coalesce(F.try_divide("numbers", "filled"), F.lit(0.0)) > METRIC_SHARE
+
+
+def column_scores(matrix: DataFrame, header_rows: int = 1, tokens: Sequence[str] = ()) -> DataFrame:
+    """Per file and column: filled cells, plain numbers among them, and whether it is a metric."""
+    cells, counts = _scored_cells(matrix, header_rows, tokens)
+    return cells.groupBy("file_id", "pos").agg(*counts).withColumn("is_metric", is_metric())
+
+
+def detect_columns(matrix: DataFrame, layout: Layout) -> list[ReportColumn]:
+    """The columns of the files under one layout, with the headings of the first file.
+
+    One aggregation; only a row per column reaches the driver.
+    """
+    cells, counts = _scored_cells(matrix, layout.header_rows, layout.empty_tokens)
+    first = F.struct("file_id", "cell")
+    headings = [F.min(F.when(F.col("row_idx") == h, first))["cell"].alias(f"h{h}") for h in range(layout.header_rows)]
+    found = cells.groupBy("pos").agg(*counts, *headings).withColumn("is_metric", is_metric()).orderBy("pos").collect()
+    header = [[r[f"h{h}"] for r in found] for h in range(layout.header_rows)]
+    return report_columns(header or [[""] * len(found)], layout.key_columns, [r["pos"] for r in found if r["is_metric"]])
 
 
 def detect_header_rows(matrix: DataFrame, tokens: Sequence[str] = ()) -> DataFrame:
@@ -172,43 +192,43 @@ def carry_forward(rows: DataFrame, events: Mapping[str, Column], block: int = CA
     return carried.select(*rows.columns, *events)
 
 
-def _carry_keys(rows: DataFrame, depth: int, moves: Column, block: int) -> DataFrame:
-    """Add ``k0..`` with each row's ancestor keys: a filled key sets its level and clears the deeper ones."""
-    def event(i: int) -> Column:
-        own = F.col(f"key{i}")
-        return F.when(moves, F.when(own.isNotNull(), own).when(F.col("level") < i, F.lit("")))
+def carry_keys(matrix: DataFrame, layout: Layout, block: int = CARRY_BLOCK, leaves: bool = True, nodes: bool = True) -> DataFrame:
+    """Classified rows with the keys carried down to them: a filled key sets its level and clears the deeper ones.
 
-    return carry_forward(rows, {f"k{i}": event(i) for i in range(depth)}, block)
+    ``leaf0..`` are the ancestors as leaves see them: total rows and rows without a key do
+    not move them. ``node0..`` are those that nodes see: there total rows do. Both are
+    carried in one pass.
+    """
+    rows = classify_rows(matrix, layout)
 
+    def event(i: int, moves: Column) -> Column:
+        own = F.col(f"key{i}")
+        return F.when(moves & own.isNotNull(), own).when(moves & (F.col("level") < i), F.lit(""))
 
-def flatten_leaves(matrix: DataFrame, layout: Layout, columns: Sequence[ReportColumn], block: int = CARRY_BLOCK) -> DataFrame:
-    """Leaf rows as a flat table: ancestor keys filled in, metrics as numbers, the rest as text.
+    keyed = F.col("level") >= 0
+    moves = ({"leaf": keyed & (F.col("kind") != "total")} if leaves else {}) | ({"node": keyed} if nodes else {})
+    events = {f"{name}{i}": event(i, m) for name, m in moves.items() for i in range(len(layout.key_columns))}
+    return carry_forward(rows, events, block)
 
-    Total rows and rows without a key do not move the carry.
-    """
-    rows = classify_rows(matrix, layout)
-    moves = (F.col("kind") != "total") & (F.col("level") >= 0)
-    leaves = _carry_keys(rows, len(layout.key_columns), moves, block).where(F.col("kind") == "leaf")
+
+def leaf_table(carried: DataFrame, layout: Layout, columns: Sequence[ReportColumn]) -> DataFrame:
+    """Leaf rows as a flat table: ancestor keys filled in, metrics as numbers, the rest as text."""
     place = {c: i for i, c in enumerate(layout.key_columns)}
 
     def value(c: ReportColumn) -> Column:
         if c.index in place:
-            return F.coalesce(f"k{place[c.index]}", F.lit(""))
+            return F.coalesce(f"leaf{place[c.index]}", F.lit(""))
         cell = F.get("cells", F.lit(c.index))
         return parse_metric(cell, layout.empty_tokens) if c.role == "metric" else F.coalesce(cell, F.lit(""))
 
+    leaves = carried.where(F.col("kind") == "leaf")
     return leaves.select("file_id", "row_idx", *[value(c).alias(c.full_name) for c in columns])
 
 
-def extract_nodes(matrix: DataFrame, layout: Layout, columns: Sequence[ReportColumn], block: int = CARRY_BLOCK) -> DataFrame:
-    """Subtotal and total rows: ``path, level, label, is_total, values``.
-
-    Here total rows do move the carry; a row without any key has its label as path.
-    """
-    rows = classify_rows(matrix, layout)
-    depth = len(layout.key_columns)
-    nodes = _carry_keys(rows, depth, F.col("level") >= 0, block).where(F.col("kind") != "leaf")
-    keys = F.array(*[F.coalesce(f"k{i}", F.lit("")) for i in range(depth)])
+def node_table(carried: DataFrame, layout: Layout, columns: Sequence[ReportColumn]) -> DataFrame:
+    """Subtotal and total rows: ``path, level, label, is_total, values``; a row without any key has its label as path."""
+    nodes = carried.where(F.col("kind") != "leaf")
+    keys = F.array(*[F.coalesce(f"node{i}", F.lit("")) for i in range(len(layout.key_columns))])
     path = F.when(F.col("level") >= 0, F.slice(keys, 1, F.col("level") + 1)).otherwise(F.array("label"))
     entered = []
     for c in columns:
@@ -220,6 +240,16 @@ def extract_nodes(matrix: DataFrame, layout: Layout, columns: Sequence[ReportCol
     )
 
 
+def flatten_leaves(matrix: DataFrame, layout: Layout, columns: Sequence[ReportColumn], block: int = CARRY_BLOCK) -> DataFrame:
+    """The flat leaf table of a matrix."""
+    return leaf_table(carry_keys(matrix, layout, block, nodes=False), layout, columns)
+
+
+def extract_nodes(matrix: DataFrame, layout: Layout, columns: Sequence[ReportColumn], block: int = CARRY_BLOCK) -> DataFrame:
+    """The nodes of a matrix with their entered values."""
+    return node_table(carry_keys(matrix, layout, block, leaves=False), layout, columns)
+
+
 def hierarchy_preview(matrix: DataFrame, layout: Layout, max_nodes: int | None = PREVIEW_NODES) -> DataFrame:
     """Distinct ancestor paths of the data rows, ``path, parent, label, level``, in order of appearance.
 

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.display import display_scale, meets
 from tallyframe.functions.formula import Term, result_column
-from tallyframe.functions.numeric import as_column, finite, zero_if_null
+from tallyframe.functions.numeric import as_column, zero_if_null
 from tallyframe.functions.text import natural_key
 from tallyframe.operators.metrics import RECORD_COUNT
+from tallyframe.session import stored
 
 PAGE_SIZE = 50
+# Rows up to which a page is taken as a top-k.
+HEAD_ROWS = 100_000
 SERIES_LIMIT = 8
 CHART_METRICS = 5
 RELATIVE_EPSILON = 1e-9
@@ -127,11 +130,27 @@ def sort_rows(rows: DataFrame, key: str = "label", descending: bool = False) ->
     return rows.orderBy(k.desc_nulls_last() if descending else k.asc_nulls_first(), F.asc_nulls_last("label"))
 
 
-def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page, from 1, of rows in a given order; the number is clamped to the pages there are."""
+def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int = PAGE_SIZE, head: int = HEAD_ROWS) -> DataFrame:
+    """One page, from 1, of rows in a given order; the number is clamped to the pages there are.
+
+    A page near the start is a top-k. A deep one would carry all rows before it to one
+    place, so there the sorted rows are stored and picked by their number in their partition.
+    """
     last = max(1, -(-rows.count() // size))
-    number = min(max(1, number), last)
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+    start = (min(max(1, number), last) - 1) * size
+    if start + size <= head:
+        return rows.orderBy(*order).offset(start).limit(size)
+    numbered = stored(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    first_id = F.shiftleft(F.shiftright("__id", 33), 33)
+    parts = numbered.groupBy(first_id.alias("first")).count().orderBy("first").collect()
+    wanted, before = F.lit(False), 0
+    for part in parts:
+        low, high = max(start, before), min(start + size, before + part["count"])
+        if low < high:
+            shift = part["first"] - before
+            wanted = wanted | F.col("__id").between(low + shift, high - 1 + shift)
+        before += part["count"]
+    return numbered.where(wanted).orderBy("__id").drop("__id")
 
 
 def top_series(cells: DataFrame, totals: DataFrame, metric: str, n: int = SERIES_LIMIT, chosen: Sequence[str] | None = None) -> DataFrame:
@@ -181,7 +200,3 @@ def time_series(long: DataFrame) -> DataFrame:
     return long.select(
         F.col("group_name").alias("label"), F.col("label").alias("date_label"), RECORD_COUNT, "metric_id", "value"
     )
-
-
-def finite_metrics(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    return rows.withColumns({m: finite(as_column(m)) for m in metrics})

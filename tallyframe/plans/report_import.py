@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tallyframe.operators.report import (
     Layout,
     ReportColumn,
-    column_scores,
-    extract_nodes,
-    flatten_leaves,
+    carry_keys,
+    detect_columns,
+    leaf_table,
+    node_table,
     node_values,
-    report_columns,
     roll_up,
 )
+from tallyframe.session import stored
 
 
 @dataclass(frozen=True)
 class ReportImport:
-    """The frames a report file gives; all are lazy."""
+    """The columns found and the frames a report gives."""
 
     columns: Sequence[ReportColumn]
     leaves: DataFrame
@@ -32,14 +33,11 @@ class ReportImport:
 def import_report(matrix: DataFrame, layout: Layout) -> ReportImport:
     """Import the files of a matrix under one layout.
 
-    Only the header rows of one file and the metric flag of each column reach the driver.
+    The matrix is read twice: once to find the columns, once to carry the keys. The
+    carried rows are stored, and leaves and nodes are both taken from there.
     """
-    first = matrix.where(F.col("row_idx") < layout.header_rows).orderBy("file_id", "row_idx").limit(layout.header_rows)
-    header = [r["cells"] for r in first.collect()]
-    scores = column_scores(matrix, layout.header_rows, layout.empty_tokens)
-    votes = scores.groupBy("pos").agg(F.sum("numbers").alias("n"), F.sum("filled").alias("f"))
-    metrics = [r["pos"] for r in votes.where(F.try_divide("n", "f") > 0.6).select("pos").collect()]
-    columns = report_columns(header, list(layout.key_columns), metrics)
-    nodes = extract_nodes(matrix, layout, columns)
+    columns = detect_columns(matrix, layout)
+    carried = stored(carry_keys(matrix, layout))
+    nodes = node_table(carried, layout, columns)
     rolled = roll_up(node_values(nodes), len(layout.key_columns))
-    return ReportImport(columns, flatten_leaves(matrix, layout, columns), nodes, rolled)
+    return ReportImport(columns, leaf_table(carried, layout, columns), nodes, rolled)

@@ -112,40 +112,37 @@ def test_hierarchy_preview(matrix):
     assert R.hierarchy_preview(matrix([HEADER, *BODY]), LAYOUT, max_nodes=2).count() == 2
 
 
-def rolled(spark, nodes, depth=3):
-    rows = [(i, p.split("/") if p else [], t, {"potr": v}) for i, (p, v, t) in enumerate(nodes)]
-    schema = "row_idx int, path array<string>, is_total boolean, values map<string,double>"
-    values = R.node_values(spark.createDataFrame(rows, schema))
-    return R.roll_up(values, depth)
-
-
-def as_dict(df):
-    return {"/".join(r["path"]): (r["value"], r["own"], r["children_sum"]) for r in df.collect()}
-
-
-@pytest.mark.parametrize(
-    "nodes, expected",
-    [
-        ([("C", 100.0, False), ("C/a", 30.0, False), ("C/b", 50.0, False)], {"C": (100, 100, 80), "": (100, None, 100)}),
-        ([("C", None, False), ("C/a", 30.0, False), ("C/b", 50.0, False)], {"C": (80, None, 80)}),
-        ([("G", None, False), ("G/R1", None, False), ("G/R1/a", 10.0, False), ("G/R1/b", 5.0, False), ("G/R2", 20.0, False)],
-         {"G/R1": (15, None, 15), "G": (35, None, 35), "": (35, None, 35)}),
-        ([("G", 0.0, False), ("G/a", 99.0, False)], {"G": (0, 0, 99)}),
-        ([("G", None, False)], {"G": (None, None, None), "": (None, None, None)}),
-        ([("A", 100.0, False), ("B", 250.0, False), ("A/x", 40.0, False)], {"": (350, None, 350)}),
-        ([("A", 100.0, False), ("Итого", 999.0, True)], {"": (100, None, 100), "Итого": (999, 999, None)}),
-        ([("", 7.0, False), ("A", 3.0, False)], {"": (7, 7, 3)}),
-        ([("A", 1.0, False), ("X/y/z", 5.0, False)], {"": (6, None, 6)}),
-    ],
-)
-def test_roll_up(spark, nodes, expected):
-    got = as_dict(rolled(spark, nodes))
-    for path, cell in expected.items():
-        assert got[path] == cell
+def rolled(spark, cases, depth=3):
+    rows = [(c, i, p.split("/") if p else [], t, {"potr": v}) for c, nodes in enumerate(cases) for i, (p, v, t) in enumerate(nodes)]
+    schema = "case int, row_idx int, path array<string>, is_total boolean, values map<string,double>"
+    return R.roll_up(R.node_values(spark.createDataFrame(rows, schema), ["case"]), depth, ["case"])
+
+
+CASES = [
+    ([("C", 100.0, False), ("C/a", 30.0, False), ("C/b", 50.0, False)], {"C": (100, 100, 80), "": (100, None, 100)}),
+    ([("C", None, False), ("C/a", 30.0, False), ("C/b", 50.0, False)], {"C": (80, None, 80)}),
+    ([("G", None, False), ("G/R1", None, False), ("G/R1/a", 10.0, False), ("G/R1/b", 5.0, False), ("G/R2", 20.0, False)],
+     {"G/R1": (15, None, 15), "G": (35, None, 35), "": (35, None, 35)}),
+    ([("G", 0.0, False), ("G/a", 99.0, False)], {"G": (0, 0, 99)}),
+    ([("G", None, False)], {"G": (None, None, None), "": (None, None, None)}),
+    ([("A", 100.0, False), ("B", 250.0, False), ("A/x", 40.0, False)], {"": (350, None, 350)}),
+    ([("A", 100.0, False), ("Итого", 999.0, True)], {"": (100, None, 100), "Итого": (999, 999, None)}),
+    ([("", 7.0, False), ("A", 3.0, False)], {"": (7, 7, 3)}),
+    ([("A", 1.0, False), ("X/y/z", 5.0, False)], {"": (6, None, 6)}),
+    ([("A", 1.0, False), ("A", 2.0, False), ("A/b", 9.0, False)], {"A": (2, 2, 9)}),
+]
+
+
+def test_roll_up(spark):
+    got = {(r["case"], "/".join(r["path"])): (r["value"], r["own"], r["children_sum"]) for r in rolled(spark, [n for n, _ in CASES]).collect()}
+    assert len(got) == sum(len({p for p, _, _ in n} | {""}) for n, _ in CASES)
+    for c, (_, expected) in enumerate(CASES):
+        for path, cell in expected.items():
+            assert got[c, path] == cell, (c, path)
 
 
 def test_entered_overlay_and_discrepancies(spark):
-    cells = rolled(spark, [("C", 100.0, False), ("C/a", 30.0, False), ("C/b", 50.0, False), ("D", 8.0, False), ("D/a", 8.0, False)])
+    cells = rolled(spark, [[("C", 100.0, False), ("C/a", 30.0, False), ("C/b", 50.0, False), ("D", 8.0, False), ("D/a", 8.0, False)]])
     out = R.discrepancies(cells, {"m": "potr"}, {"half": Calc(lambda p: p / 2, {"p": "potr"})}).collect()
     assert sorted((r["path"], r["metric"], r["own"], r["children_sum"]) for r in out) == [(["C"], "half", 50, 40), (["C"], "m", 100, 80)]
     entered = R.entered_values(cells, {"m": "potr"}, {"none": Calc(lambda p, q: p / q, {"p": "potr", "q": "lacking"})})

@@ -114,6 +114,9 @@ def test_pages(spark):
     ids = lambda n: [r["id"] for r in V.page(df, ["id"], n).collect()]
     assert ids(1) == list(range(50)) and ids(3) == list(range(100, 120)) and ids(99) == ids(3) and ids(0) == ids(1)
     assert V.page(df.where("id < 0"), ["id"], 4).collect() == []
+    big = spark.range(5000).repartition(7)
+    for n in (1, 37, 100):
+        assert [r["id"] for r in V.page(big, [F.desc("id")], n, head=0).collect()] == list(range(5000 - 50 * (n - 1) - 1, 5000 - 50 * n - 1, -1))
 
 
 def test_search_treemap_and_chart(frame):
