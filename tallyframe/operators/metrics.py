@@ -34,11 +34,15 @@ def filled(column: str) -> Column:
 
 @dataclass(frozen=True)
 class Agg:
-    """One aggregate of one column; ``p`` is the fraction of a percentile."""
+    """One aggregate of one column; ``p`` is the fraction of a percentile.
+
+    ``approximate`` takes a sketch in place of an exact distinct count or percentile.
+    """
 
     column: str
     fn: str = "SUM"
     p: float | None = None
+    approximate: bool = False
 
     def __post_init__(self):
         fn = self.fn.upper()
@@ -52,13 +56,15 @@ class Agg:
 
     @property
     def key(self) -> str:
+        about = "about_" if self.approximate else ""
         if self.p is not None:
-            return f"__p{str(self.p).replace('.', '_')}__{self.column}"
-        return f"__{self.fn.lower()}__{self.column}"
+            return f"__{about}p{str(self.p).replace('.', '_')}__{self.column}"
+        return f"__{about}{self.fn.lower()}__{self.column}"
 
     @property
     def is_percentile(self) -> bool:
-        return self.p is not None
+        """Whether the value takes a computation of its own beside the common aggregation."""
+        return self.p is not None and not self.approximate
 
     def partials(self) -> dict[str, tuple[Column, Callable[[Column], Column]]]:
         """Partial columns: name -> (aggregate over rows, aggregate over partials)."""
@@ -66,7 +72,11 @@ class Agg:
         if self.fn == "SUM":
             return {f"__sum__{c}": (F.sum(num(c)), F.sum)}
         if self.fn == "AVG":
-            return {f"__sum__{c}": (F.sum(num(c)), F.sum), f"__n__{c}": (F.count(num(c)), F.sum)}
+            usable = finite(as_column(f"__sum__{c}")).isNotNull()
+            return {
+                f"__sum__{c}": (F.sum(num(c)), F.sum),
+                f"__n__{c}": (F.count(num(c)), lambda n: F.sum(F.when(usable, n))),
+            }
         if self.fn == "MIN":
             return {f"__min__{c}": (F.min(num(c)), F.min)}
         if self.fn == "MAX":
@@ -74,7 +84,10 @@ class Agg:
         if self.fn == "COUNT":
             return {f"__count__{c}": (F.count(as_column(c)), F.sum)}
         if self.fn == "COUNT_DISTINCT":
-            return {self.key: (F.count_distinct(as_column(c)), lambda _: F.lit(None))}
+            count = F.approx_count_distinct if self.approximate else F.count_distinct
+            return {self.key: (count(as_column(c)), lambda _: F.lit(None))}
+        if self.approximate:
+            return {self.key: (F.percentile_approx(finite(num(c)), self.p), lambda _: F.lit(None))}
         return {}
 
     def value(self) -> Column:

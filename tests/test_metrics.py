@@ -52,6 +52,19 @@ def test_holistic_aggregates_have_no_total_but_an_exact_one(sales):
     assert (exact["d"], exact["m"], exact["twice"], exact["on"]) == (2, 10, 4, 5)
 
 
+def test_average_of_a_group_that_is_no_number(frame):
+    df = frame([("A", 10.0), ("A", 20.0), ("B", NAN), ("C", None)], "g string, v double")
+    b = Breakdown(df, [Metric("m", Agg("v", "AVG"))], "g")
+    assert {k: r["m"] for k, r in by_label(b.rows()).items()} == {"A": 15, "B": None, "C": None} and one(b.total())["m"] == 15
+
+
+def test_sketches(frame):
+    df = frame([("A", float(i % 50)) for i in range(1000)], "g string, v double")
+    metrics = [Metric("d", Agg("v", "COUNT_DISTINCT", approximate=True)), Metric("m", Agg("v", "MEDIAN", approximate=True)), Metric("x", Agg("v", "MEDIAN"))]
+    row = by_label(Breakdown(df, metrics, "g").rows())["A"]
+    assert abs(row["d"] - 50) <= 3 and abs(row["m"] - row["x"]) <= 1
+
+
 def test_operand_of_a_formula_keeps_its_aggregate_in_total(frame):
     df = frame([("A", 12.0), ("B", 47.0), ("C", 30.0)], "g string, v double")
     assert one(Breakdown(df, [Metric("m", {"a": ("v", "MAX")}, lambda a: a + 0)], "g").total())["m"] == 47
