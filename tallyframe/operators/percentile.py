@@ -72,7 +72,9 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("rank"), F.min("v").alias("least"), F.max("v").alias("most"))
         .select(*by, "cell", "c", "rank", F.when(F.col("cell") < 0, F.col("most")).otherwise(F.col("least")).alias("v"))
     )
-    cells = counted.groupBy(*by, "cell").agg(F.sum("c").alias("c"), F.max("rank").alias("rank"))
+    # asking for the values too lets both uses of the counts share one shuffle
+    cells = counted.groupBy(*by, "cell").agg(F.sum("c").alias("c"), F.max("rank").alias("rank"), F.max("v").alias("top"))
+    cells = cells.where(F.col("top").isNotNull())
     through = cells.withColumn("through", F.sum("c").over(Window.partitionBy(*by).orderBy("cell")))
     before = F.col("through") - F.col("c")
     targets = through.where((F.col("through") > F.floor("rank")) & (before <= F.ceil("rank"))).select(

@@ -172,20 +172,19 @@ def carry_forward(rows: DataFrame, events: Mapping[str, Column], block: int = CA
     """Add, per event column, its last non-null value up to each row of its file.
 
     A file may hold a large part of all rows, so it is cut into blocks of consecutive
-    rows: each block is carried on its own, what it ends with is carried over the blocks,
-    and the two are joined. Both sides come from one shuffle by block.
+    rows: each block is carried on its own, what it ends with (reduced before any shuffle)
+    is carried over the blocks, and the two are joined.
     """
     cut = rows.withColumns({"__block": F.floor(F.col("row_idx") / block), **{f"__e_{n}": c for n, c in events.items()}})
-    inside = Window.partitionBy("file_id", "__block").orderBy("row_idx")
+    inside = Window.partitionBy("file_id", "__block").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
     within = cut.withColumns({f"__in_{n}": F.last(f"__e_{n}", ignorenulls=True).over(inside) for n in events})
-    ends = within.groupBy("file_id", "__block").agg(
-        F.max_by(F.struct(*[f"__in_{n}" for n in events]), "row_idx").alias("__end")
-    )
+    set_at = {n: F.when(F.col(f"__e_{n}").isNotNull(), F.col("row_idx")) for n in events}
+    ends = cut.groupBy("file_id", "__block").agg(*[F.max_by(f"__e_{n}", at).alias(f"__end_{n}") for n, at in set_at.items()])
     earlier = Window.partitionBy("file_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(
         F.col("file_id").alias("__f"),
         F.col("__block").alias("__b"),
-        *[F.last(F.col("__end")[f"__in_{n}"], ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in events],
+        *[F.last(f"__end_{n}", ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in events],
     )
     joined = within.join(before, (F.col("file_id") == F.col("__f")) & (F.col("__block") == F.col("__b")))
     carried = joined.withColumns({n: F.coalesce(f"__in_{n}", f"__before_{n}") for n in events})

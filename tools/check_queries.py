@@ -26,8 +26,8 @@ def cell(v):
         return None
     if hasattr(v, "item"):
         v = v.item()
-    if isinstance(v, float):
-        return 0.0 if v == 0 else v
+    if isinstance(v, float) and v == 0 and math.copysign(1, v) < 0:
+        return "-0.0"  # shown apart: some comparisons go by text
     return v
 
 
