@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.dates import date_label
+from tallyframe.functions.dates import interval, interval_label
 from tallyframe.functions.numeric import as_column, num
 from tallyframe.functions.text import trim_all
 from tallyframe.operators.filters import Filter, apply_filters, visible_columns
@@ -87,9 +87,12 @@ class Breakdown:
         df = self.source
         known = self.plan.columns
         second = None
+        # intervals are grouped by a compact key and named after the aggregation
+        self.granularity: str | None = None
         if axis is not None and axis.column in known:
             if axis.kind == "date":
-                second = date_label(axis.column, axis.granularity)
+                second = interval(axis.column, axis.granularity)
+                self.granularity = None if second is None else axis.granularity
             elif axis.kind == "bucket":
                 second = bucket_label(df, axis.column, axis.buckets or 10)
             elif axis.top_n:
@@ -142,7 +145,10 @@ class Breakdown:
             else:
                 values = {name: holistic.select(as_column(name)).scalar() for name, _, _ in wanted}
                 out = out.withColumns(values)
-        return out.withColumnsRenamed({f"__{k}": k for k in by})
+        out = out.withColumnsRenamed({f"__{k}": k for k in by})
+        if self.granularity and by:
+            out = out.withColumn(by[-1], interval_label(F.col(by[-1]), self.granularity))
+        return out
 
     def _order(self) -> list[Column]:
         if "date_label" in self.keys:

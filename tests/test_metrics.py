@@ -209,3 +209,23 @@ def test_formula_vocabulary_edges(frame):
     metrics = [Metric(k, {"a": "v"}, f) for k, f in cases.items()]
     row = one(Breakdown(df, metrics).rows())
     assert [row[k] for k in cases] == [None, None, None, None, 16, None, 7, 4]
+
+
+def test_date_labels_do_not_depend_on_the_time_zone(spark, frame):
+    df = frame([("2024-03-10 02:30:59",), ("2024-12-31T23:59:00",), ("2024-01-01",), ("bad",), (None,)], "d string")
+    moments = df.select(F.col("d").try_cast("timestamp_ntz").alias("d"))
+    expected = {
+        "minute": {"2024-03-10 02:30", "2024-12-31 23:59", "2024-01-01 00:00"}, "hour": {"2024-03-10 02:00", "2024-12-31 23:00", "2024-01-01 00:00"},
+        "day": {"2024-03-10", "2024-12-31", "2024-01-01"}, "week": {"2024-03-04", "2024-12-30", "2024-01-01"},
+        "month": {"2024-03", "2024-12", "2024-01"}, "year": {"2024"},
+    }
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for granularity, labels in expected.items():
+            for source in (df, moments):
+                b = Breakdown(source, [], axis=Axis("d", "date", granularity))
+                assert {r["label"] for r in b.rows().collect()} == labels
+                assert one(b.total())["record_count"] == 5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
