@@ -87,7 +87,7 @@ class Breakdown:
         df = self.source
         known = self.plan.columns
         second = None
-        # intervals are grouped by a compact key and named after the aggregation
+        # rows are grouped by the plain values and intervals; labels are made after the aggregation
         self.granularity: str | None = None
         if axis is not None and axis.column in known:
             if axis.kind == "date":
@@ -99,7 +99,7 @@ class Breakdown:
                 df = fold_top_n(df, axis.column, axis.top_n, "__second")
                 second = F.col("__second")
             else:
-                second = as_column(axis.column).cast("string")
+                second = as_column(axis.column)
         elif axis is not None:
             warnings.warn(f"unknown second axis ignored: {axis.column!r}", stacklevel=3)
 
@@ -107,7 +107,7 @@ class Breakdown:
         labels: dict[str, Column] = {}
         self.by_first_metric = False
         if by is not None and by in known:
-            labels["label"] = as_column(by).cast("string")
+            labels["label"] = as_column(by)
             if second is not None:
                 labels["date_label"] = second
             self.by_first_metric = second is None
@@ -146,9 +146,10 @@ class Breakdown:
                 values = {name: holistic.select(as_column(name)).scalar() for name, _, _ in wanted}
                 out = out.withColumns(values)
         out = out.withColumnsRenamed({f"__{k}": k for k in by})
+        labels = {k: F.col(k).cast("string") for k in by}
         if self.granularity and by:
-            out = out.withColumn(by[-1], interval_label(F.col(by[-1]), self.granularity))
-        return out
+            labels[by[-1]] = interval_label(F.col(by[-1]), self.granularity)
+        return out.withColumns(labels) if labels else out
 
     def _order(self) -> list[Column]:
         if "date_label" in self.keys:
