@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from tallyframe import Agg, Breakdown, Metric, Rule
+from tallyframe import Agg, Breakdown, Metric, Rule, fx
 from tallyframe.functions import display as D
+from tallyframe.operators.views import formatted
 
 # DuckDB: number text with a no-break space and a comma, trailing zeros cut
 RU = r"regexp_replace(regexp_replace(replace(replace(replace(format('{:,.{d}f}', {x}), ',', ' '), '.', ','), ' ', chr(160)), '(,\d*?)0+$', '\1'), ',$', '')"
@@ -52,6 +53,15 @@ def _(t):
     )
 
 
+@query("formatted_metrics_v3", f"""
+WITH g AS (SELECT o_orderpriority AS label, count(*) AS record_count, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY 1)
+SELECT label, record_count, {ru('mean', 2, FIXED)} || ' ₽' AS mean_text, CASE WHEN mean > 253000 THEN '#10b981' ELSE '#f43f5e' END AS mean_color FROM g""")
+def _(t):
+    rules = [Rule(">", 253_000, color="emerald"), Rule("<=", 253_000, color="rose")]
+    metric = Metric("mean", {"v": Agg("o_totalprice", "AVG")}, lambda v: fx.round(v, 2), fmt="currency", unit="₽", rules=rules)
+    return formatted(Breakdown(t.orders, [metric], "o_orderpriority").rows(), [metric]).drop("mean")
+
+
 @query("number_text_v4", f"SELECT o_orderkey, {ru('round(o_totalprice, 1)', 1)} AS one, {ru('o_totalprice', 3)} AS three, {ru('o_orderkey', 0)} AS whole FROM orders")
 def _(t):
     return t.orders.select(

@@ -71,13 +71,13 @@ def round_half_up(c: Column, decimals: int) -> Column:
     return whole / F.lit(10.0**decimals)
 
 
-def ru_text(c: Column | str, max_decimals: int = 3, min_decimals: int = 0) -> Column:
-    """Number with a no-break space between thousands, a comma and at most ``max_decimals`` digits."""
+def ru_text(c: Column | str, max_decimals: int = 3, fixed: bool = False) -> Column:
+    """Number with a no-break space between thousands and a comma.
+
+    At most ``max_decimals`` digits follow the comma, exactly so many if ``fixed``.
+    """
     text = F.translate(F.format_number(F.round(as_column(c), max_decimals), max_decimals), ",.", f"{NBSP},")
-    for _ in range(1 if max_decimals > min_decimals else 0):
-        keep = rf"(,\d{{{min_decimals}}}\d*?)0+$"
-        text = F.regexp_replace(F.regexp_replace(text, keep, "$1"), ",$", "")
-    return text
+    return text if fixed or max_decimals == 0 else F.rtrim(F.rtrim(text, F.lit("0")), F.lit(","))
 
 
 def format_value(c: Column | str, fmt: str = "number", decimals: int = 0, unit: str | None = None) -> Column:
@@ -87,8 +87,7 @@ def format_value(c: Column | str, fmt: str = "number", decimals: int = 0, unit:
         text = F.regexp_replace(F.format_string(f"%.{decimals}e", c), r"e([+-])0+(\d)", "e$1$2")
     else:
         rounded = round_half_up(display_scale(c, fmt), decimals)
-        fixed = fmt in ("decimal", "currency")
-        text = ru_text(rounded, decimals, decimals if fixed else 0)
+        text = ru_text(rounded, decimals, fixed=fmt in ("decimal", "currency"))
         if fmt in ("percent", "percent_raw"):
             text = F.concat(text, F.lit("%"))
     if unit and fmt not in ("percent", "percent_raw"):

@@ -37,6 +37,7 @@ def normalize(rows: DataFrame, bases: Mapping[str, str], decimals: Mapping[str,
 
     With ``text`` each normalised metric also gets a ``<metric>_text`` percent column.
     """
+    bases = {m: b for m, b in bases.items() if m in rows.columns}
     if not bases:
         return rows
     refs = rows.agg(F.struct(*[reference(m, b).alias(f"r{i}") for i, (m, b) in enumerate(bases.items())]).alias("refs")).scalar()

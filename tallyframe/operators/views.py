@@ -9,11 +9,11 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.functions.display import display_scale, meets
+from tallyframe.functions.display import display_scale, format_value, meets, rule_color
 from tallyframe.functions.formula import Term, result_column
 from tallyframe.functions.numeric import as_column, zero_if_null
 from tallyframe.functions.text import natural_key
-from tallyframe.operators.metrics import RECORD_COUNT
+from tallyframe.operators.metrics import RECORD_COUNT, Metric
 from tallyframe.session import stored
 
 PAGE_SIZE = 50
@@ -179,6 +179,13 @@ def chart_table(rows: DataFrame, metrics: Sequence[str], formats: Mapping[str, s
     )
 
 
+def formatted(rows: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
+    """Add ``<metric>_text`` in each metric's display format and ``<metric>_color`` by its rules."""
+    texts = {f"{m.id}_text": format_value(m.id, m.fmt, m.decimals, m.unit) for m in metrics}
+    colors = {f"{m.id}_color": rule_color(m.id, m.rules, m.fmt) for m in metrics if m.rules}
+    return rows.withColumns(texts | colors)
+
+
 def flatten_groups(long: DataFrame, group_count: int) -> DataFrame:
     """Breakdown rows of all groups in one frame, labels prefixed by their group if there are several."""
     label = F.concat_ws(" · ", "group_name", "label") if group_count > 1 else F.col("label")

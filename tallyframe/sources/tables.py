@@ -145,6 +145,15 @@ def write_leaves(leaves: DataFrame, columns: Sequence[ReportColumn], path: str)
 
 
 def _plain_number(c: Column) -> Column:
-    """Shortest decimal text: no trailing ``.0`` for whole numbers."""
-    whole = c.cast("decimal(38,0)").cast("string")
-    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), whole).otherwise(c.cast("string"))
+    """Shortest decimal text of a double, without an exponent and without a trailing ``.0``."""
+    size = F.abs(c)
+
+    def decimal(scale: int) -> Column:
+        return F.rtrim(F.rtrim(c.try_cast(f"decimal(38,{scale})").cast("string"), F.lit("0")), F.lit("."))
+
+    return (
+        F.when((c == F.floor(c)) & (size < 1e15), c.cast("decimal(38,0)").cast("string"))
+        .when((size >= 1e7) & (size < 1e21), decimal(9))
+        .when((size >= 1e-6) & (size < 1e-3), decimal(24))
+        .otherwise(c.cast("string"))
+    )

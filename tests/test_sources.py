@@ -93,10 +93,10 @@ def test_dialects(spark, tmp_path):
 
 
 def test_leaf_csv(spark, frame, tmp_path):
-    df = frame([('a "x", b', 1.5), ("c", 2.0), ("", None), ("d", 0.1)], "k string, v double")
+    df = frame([('a "x", b', 1.5), ("c", 2.0), ("", None), ("d", 0.1), ("e", 12345678.5), ("f", -0.00012)], "k string, v double")
     S.write_leaves(df, [ReportColumn(0, "", "k", "key"), ReportColumn(1, "", "v", "metric")], str(tmp_path / "out"))
     lines = {r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()}
-    assert lines == {"k,v", '"a ""x"", b",1.5', "c,2", ",", "d,0.1"}
+    assert lines == {"k,v", '"a ""x"", b",1.5', "c,2", ",", "d,0.1", "e,12345678.5", "f,-0.00012"}
 
 
 def test_align_append_and_pieces(spark, frame, tmp_path):
