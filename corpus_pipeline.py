@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyframe.llm import chosen_path, packing, quality, secrets, toxicity
+from tallyframe.llm import chosen_path, packing, quality, secret_scan, toxicity
 from tallyframe.llm.common import stored
 from tallyframe.llm.queries import table, tokenizer_path
 
@@ -32,7 +32,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.mask(docs)
+    masked = secret_scan.mask(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 

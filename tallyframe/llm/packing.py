@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +23,10 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.llm.common import WORD, RecentDict, map_rows, stored, texts
+from tallyframe.llm.common import WORD, map_rows, stored, texts
 
 _WORD = re.compile(WORD)
+_INTS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _REST = 1 << 62
 
 
@@ -58,39 +60,50 @@ class Classes:
 class WordIds:
     """Ids of whole texts by a tokenizer that drops white space: words are encoded apart and met ones looked up."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text in a document
-        self.memo = RecentDict(memo)
-        self.parts = RecentDict(memo)
+        self.size, self.known, self.older, self.parts = memo, {}, {}, {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = _WORD.findall(text)
-        new = [w for w in set(words) if self.memo.get(w) is None] if words else []
-        fresh = self._encode(new) if new else {}
-        young, old = self.memo.young, self.memo.old
-        found = [young.get(w) or old.get(w) or fresh[w] for w in words] if fresh or old else list(map(young.__getitem__, words))
-        for w, b in fresh.items():
-            if len(w) <= 64:
-                self.memo.put(w, b)
-        return b"".join(found)
-
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        new = set(words).difference(self.known)
+        if new:
+            self._learn(set(words), new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: set[str], new: set[str]) -> None:
+        """Make the words known; when the memo is full a new one is begun and the full one kept beside it."""
+        if len(self.known) > self.size:
+            self.older, self.known, new = self.known, {}, words
+        known, older = self.known, self.older
+        unmet = new.difference(older)
+        for w in new - unmet:
+            known[w] = older[w]
+        if unmet:
+            self._encode(unmet)
+
+    def _encode(self, words: set[str]) -> None:
         """Closing stops and commas after a letter are pieces of their own, and ASCII letters lose case anyway."""
-        split = {}
+        if len(self.parts) > self.size:
+            self.parts = {}
+        known, parts, split = self.known, self.parts, []
         for w in words:
             core = w.rstrip(".,")
-            core = core if core and core[-1].isalpha() else w
-            split[w] = core.lower() if core.isascii() else core, w[len(core) :]
-        todo = [p for p in {p for pair in split.values() for p in pair if p} if self.parts.get(p) is None]
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False))}
-        out = {w: b"".join(got[p] if p in got else self.parts.get(p) for p in pair if p) for w, pair in split.items()}
-        for p, b in got.items():
-            self.parts.put(p, b)
-        return out
+            if core == w or not core or not core[-1].isalpha():
+                core, tail = w, ""
+            else:
+                tail = w[len(core) :]
+            split.append((w, core.lower() if core.isascii() else core, tail))
+        todo = list({p for _, core, tail in split for p in (core, tail)}.difference(parts))
+        for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
+            ids = e.ids
+            parts[p] = _INTS[len(ids)](*ids) if len(ids) < len(_INTS) else np.array(ids, "<u4").tobytes()
+        for w, core, tail in split:
+            known[w] = parts[core] + parts[tail] if tail else parts[core]
 
 
 _CODERS: dict[str, WordIds] = {}

@@ -70,7 +70,7 @@ def op4_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyframe.llm.secrets import KINDS, listed, train, with_spans
+    from tallyframe.llm.secret_scan import KINDS, listed, train, with_spans
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, base, every = with_spans(docs, train(docs))
@@ -128,3 +128,17 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyframe.llm.chosen_path import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.multi_index import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
