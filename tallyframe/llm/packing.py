@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyframe.llm.common import WORD, map_rows, stored, texts
 
 _WORD = re.compile(WORD)
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _INTS = [struct.Struct(f"<{n}I").pack for n in range(32)]
 _REST = 1 << 62
 
@@ -69,16 +70,21 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = _WORD.findall(text)
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(set(words), new)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: set[str], new: set[str]) -> None:
+        if text.isascii():
+            text = text.lower()
+        # str.split also parts at four separators that the tokenizer keeps
+        words = text.split() if _SEPARATORS.search(text) is None else _WORD.findall(text)
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            self._learn({w for w, b in zip(words, ids) if b is None})
+            known = self.known
+            ids = [known[w] if b is None else b for w, b in zip(words, ids)]
+        return b"".join(ids)
+
+    def _learn(self, new: set[str]) -> None:
         """Make the words known; when the memo is full a new one is begun and the full one kept beside it."""
         if len(self.known) > self.size:
-            self.older, self.known, new = self.known, {}, words
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
         unmet = new.difference(older)
         for w in new - unmet:
