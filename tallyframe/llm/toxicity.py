@@ -8,7 +8,7 @@ threat`` - and the weight of the word that made it. A document's score is the lo
 times the weight of their kinds: isolated words count only through the clause they stand in.
 
 The weights are learned from labelled rows: a word's arc weight is its smoothed log-odds of standing in a toxic
-document (counts over all labelled training rows, added up before the shuffle); stems of ``STEMS`` letters stand
+document (counts over about ``LABELS`` labelled rows, added up before the shuffle); stems of ``STEMS`` letters stand
 in for forms that were not met. Fixed cue lists give target, negation, report and threat words of four languages.
 The intercept and the kind weights are fitted on about ``FIT_ROWS`` labelled rows, chosen by a hash of the text;
 each of them is scored as if it had not been counted, so chance words are not trusted.
@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.llm.common import free_name
+from tallyframe.llm.common import free_name, stored
 
 #: Cue words of the grammar in English, German, French and Spanish.
 TARGETS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos usted ustedes tú ti tus".split())
@@ -42,6 +42,7 @@ KINDS = ("insult", "aimed insult", "negated", "reported", "threat", "aimed threa
 PRIOR = np.array([1.0, 1.3, 0.7, 0.7, 1.0, 1.5])
 REACH = 4  # words over which a cue or target acts
 STEMS = (4, 5, 6, 7)
+LABELS = 40_000  # labels that the model learns from, about
 FIT_ROWS = 20_000
 MIN_DOCS = 3  # toxic documents a lexicon form is met in at least
 MIN_WEIGHT = 1.5
@@ -206,16 +207,22 @@ def count_forms(rows: DataFrame, model: Model) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the labelled documents; rows of any split have to be left out before."""
+    """A model from the labelled documents; rows of any split have to be left out before.
+
+    Of the labels about ``LABELS`` are taken, by a hash of the id, so their broadcast is bounded and no text is
+    shuffled; the documents they mark are stored once.
+    """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{label_col}`") > 0).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(marks, "id").select("text", "toxic")
+    share = min(1.0, LABELS / max(marks.count(), 1))
+    marks = F.broadcast(marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(marks, "id").select("text", "toxic"))
     model = Model()
     count_forms(rows, model)
     if not model.toxic or not model.other:
         return model
     share = min(1.0, FIT_ROWS / (model.toxic + model.other))
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    
+
     @F.pandas_udf("array<double>")
     def kind_sums(text: pd.Series, toxic: pd.Series) -> pd.Series:
         return pd.Series([features(t, model, bool(y)).tolist() for t, y in zip(text, toxic)])
