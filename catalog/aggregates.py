@@ -70,7 +70,7 @@ def _(t):
 
 @query("median_of_large_groups_a6", MEDIAN_SQL)
 def _(t):
-    rows = Breakdown(t.lineitem, MEDIAN, "l_returnflag", one_task_bytes=0).rows()
+    rows = Breakdown(t.lineitem, MEDIAN, "l_returnflag").rows()
     return rounded(rounded(rows, 4, "mid"), 2, "revenue")
 
 
@@ -81,7 +81,7 @@ def _(t):
 
 @query("percentile_of_large_groups_a7", PERCENTILE_SQL)
 def _(t):
-    return rounded(Breakdown(t.orders, PERCENTILES, "o_orderpriority", one_task_bytes=0).rows(), 4, "p90", "p25")
+    return rounded(Breakdown(t.orders, PERCENTILES, "o_orderpriority").rows(), 4, "p90", "p25")
 
 
 @query("record_count_a8", "SELECT o_orderstatus AS label, count(*) AS record_count FROM orders GROUP BY 1")

@@ -7,7 +7,7 @@ from catalog.base import query, rounded
 from tallyframe import Agg, Axis, Breakdown, Dashboard, Metric
 from tallyframe.functions.text import natural_key
 from tallyframe.operators.pivot import pivot, pivot_axis, row_totals
-from tallyframe.operators.views import chart_table, first_values, flatten_groups, group_rows, page, sort_rows, top_series, treemap
+from tallyframe.operators.views import chart_table, first_values, flatten_groups, group_rows, page, placed, row_order, sort_rows, top_series, treemap
 from tallyframe.session import shared_folder
 from tallyframe.sources.tables import save_dataset
 
@@ -25,23 +25,23 @@ def parts(t):
     return Breakdown(t.lineitem, [QUANTITY], "l_partkey").rows(ordered=False)
 
 
-@query("sort_by_metric_o1", PART_SQL + "SELECT label, record_count, nullif(quantity, 0) AS quantity FROM g ORDER BY quantity DESC, label LIMIT 200")
+@query("sort_by_metric_o1", PART_SQL + "SELECT label, record_count, nullif(quantity, 0) AS quantity, row_number() OVER (ORDER BY quantity DESC NULLS LAST, label) AS place FROM g")
 def _(t):
-    return sort_rows(parts(t), "quantity", descending=True).limit(200)
+    return placed(parts(t), row_order("quantity", descending=True))
 
 
-@query("sort_by_record_count_o2", PART_SQL + "SELECT label, record_count, quantity FROM g ORDER BY record_count, label LIMIT 200")
+@query("sort_by_record_count_o2", PART_SQL + "SELECT label, record_count, quantity, row_number() OVER (ORDER BY record_count, label) AS place FROM g")
 def _(t):
-    return sort_rows(parts(t), "record_count").limit(200)
+    return placed(parts(t), row_order("record_count"))
 
 
 @query("label_null_order_o3", """
-SELECT label, record_count FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS label, count(*) AS record_count FROM orders GROUP BY 1)
-ORDER BY label ASC NULLS LAST LIMIT 2""")
+SELECT label, record_count, row_number() OVER (ORDER BY label ASC NULLS LAST) AS place FROM (
+  SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS label, count(*) AS record_count FROM orders GROUP BY 1)""")
 def _(t):
     status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
     counts = t.orders.groupBy(status.alias("label")).agg(F.count(F.lit(1)).alias("record_count"))
-    return counts.orderBy(F.asc_nulls_last("label")).limit(2)
+    return placed(counts, row_order("label"))
 
 
 @query("natural_order_o4", """

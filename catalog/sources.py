@@ -73,9 +73,9 @@ def _(t):
     return files.agg(F.sum("n").alias("n"), (F.max("n") <= 10_000).alias("within"))
 
 
-@query("preview_s7", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000")
+@query("preview_s7", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 7000")
 def _(t):
-    return S.preview(t.orders.select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), 1_000_000)
+    return S.preview(t.orders.select("o_orderkey", "o_totalprice").orderBy("o_orderkey"), 7_000)
 
 
 @query("key_value_pairs_s9", """
@@ -218,7 +218,7 @@ def _(t):
     return rounded(rounded(stats, 4, "avg", "median"), 2, "sum")
 
 
-@query("dialect_sniff_s20")
+@query("dialect_sniff_s20", "SELECT ';' AS delimiter, chr(13) || chr(10) AS line_ending, count(DISTINCT n_nationkey % 3) AS files FROM nation")
 def _(t):
     folder = shared_folder(t.spark)
     parts = t.nation.select(

@@ -9,17 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyframe.functions.dates import interval, interval_label
-from tallyframe.functions.numeric import as_column, num
+from tallyframe.functions.numeric import as_column, finite, num
 from tallyframe.functions.text import trim_all
 from tallyframe.operators.filters import Filter, apply_filters, visible_columns
 from tallyframe.operators.metrics import RECORD_COUNT, Metric, MetricGroup, MetricPlan, filled
-from tallyframe.operators.percentile import exact_percentiles, percentile_aggregates
-from tallyframe.session import ONE_TASK_BYTES, fits_one_task, stored
+from tallyframe.operators.percentile import exact_percentiles
+from tallyframe.session import stored
 
 OTHER_LABEL = "Прочее"
-BREAKDOWN_LIMIT = 1000
-# Largest top-N list that is broadcast: a key and a flag per row.
-BROADCAST_KEYS = 10_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +37,6 @@ def fold_top_n(df: DataFrame, column: str, n: int, into: str) -> DataFrame:
     """
     ranked = df.groupBy(as_column(column).alias("__top")).count()
     top = ranked.orderBy(F.desc("count"), F.asc_nulls_last("__top")).limit(n).select("__top")
-    top = F.broadcast(top) if n <= BROADCAST_KEYS else top
     joined = df.join(top, as_column(column) == F.col("__top"), "left")
     hit = F.col("__top").isNotNull()
     return joined.withColumn(into, F.when(hit, as_column(column).cast("string")).otherwise(OTHER_LABEL)).drop("__top")
@@ -48,7 +44,7 @@ def fold_top_n(df: DataFrame, column: str, n: int, into: str) -> DataFrame:
 
 def bucket_label(df: DataFrame, column: str, buckets: int) -> Column:
     """Number, from 1, of the equal-width bucket between the smallest and largest value."""
-    v = num(column)
+    v = finite(num(column))
     ends = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias("ends")).scalar()
     low, high = ends["low"], ends["high"]
     place = F.when(high > low, F.floor((v - low) / (high - low) * buckets)).when(v.isNotNull(), F.lit(0))
@@ -60,10 +56,9 @@ class Breakdown:
     """A breakdown of one table.
 
     ``rows()`` are the labelled rows, ``total()`` the row re-aggregated from them,
-    both as lazy frames. ``limit`` keeps the leading rows only (the interactive
-    default is :data:`BREAKDOWN_LIMIT`); the total then covers the kept rows and
-    says so in ``truncated``. Medians and percentiles of sources over ``one_task_bytes``
-    are computed without gathering a group in one task.
+    both as lazy frames. ``limit`` keeps the leading rows only; the total then covers the
+    kept rows and says so in ``truncated``. Medians and percentiles are computed without
+    gathering a group in one task.
     """
 
     def __init__(
@@ -74,9 +69,7 @@ class Breakdown:
         axis: Axis | None = None,
         filters: Sequence[Filter] = (),
         limit: int | None = None,
-        one_task_bytes: int = ONE_TASK_BYTES,
     ):
-        self.one_task_bytes = one_task_bytes
         self.plan = MetricPlan(metrics, visible_columns(df))
         self.source = apply_filters(df, filters)
         self.limit = limit
@@ -130,14 +123,15 @@ class Breakdown:
         self._stored = stored(self._partials(self.keys))
         return self
 
-    def _partials(self, by: Sequence[str]) -> DataFrame:
+    def _partials(self, by: Sequence[str], percentiles: bool = True) -> DataFrame:
+        """The mergeable partials by group; without ``percentiles`` those are null and cost nothing."""
         keys = [f"__{k}" for k in by]
         wanted = [(a.key, a.column, a.p) for a in self.plan.percentiles]
-        direct = fits_one_task(self.labelled, self.one_task_bytes) if wanted else True
-        extra = percentile_aggregates(wanted) if direct else []
-        out = self.labelled.groupBy(*keys).agg(*self.plan.row_aggregates(), *extra)
-        if not direct:
-            holistic = exact_percentiles(self.labelled, keys, wanted, self.one_task_bytes)
+        out = self.labelled.groupBy(*keys).agg(*self.plan.row_aggregates())
+        if wanted and not percentiles:
+            out = out.withColumns({name: F.lit(None).cast("double") for name, _, _ in wanted})
+        elif wanted:
+            holistic = exact_percentiles(self.labelled, keys, wanted)
             if keys:
                 other = holistic.withColumnsRenamed({k: f"{k}__2" for k in keys})
                 same = [F.col(k).eqNullSafe(F.col(f"{k}__2")) for k in keys]
@@ -181,7 +175,11 @@ class Breakdown:
         if exact or not self.keys:
             whole = self.plan.finish(self._partials([]))
             return whole.select(RECORD_COUNT, *map(as_column, self.plan.names))
-        merged = self._kept().agg(*self.plan.total_aggregates())
+        if self.limit is None and self._stored is None:
+            kept = self.plan.finish(self._partials(self.keys, percentiles=False))
+        else:
+            kept = self._kept()
+        merged = kept.agg(*self.plan.total_aggregates())
         total = self.plan.finish(merged, total=True)
         return total.select(F.coalesce(RECORD_COUNT, F.lit(0)).alias(RECORD_COUNT), *map(as_column, self.plan.names), *self._flag())
 

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyframe.functions.numeric import as_column, finite, num
-from tallyframe.session import ONE_TASK_BYTES, fits_one_task, stored
 
 # The sketch's rank error is 1/ACCURACY of a group; the bracket is wider on both sides.
 ACCURACY = 10_000
@@ -22,21 +21,12 @@ MARGIN = 5 / ACCURACY
 CELLS = 1024
 
 
-def percentile_aggregates(wanted: Sequence[tuple[str, str, float]]) -> list[Column]:
-    """Spark's own exact percentiles, for groups that fit in one task."""
-    return [F.percentile(finite(num(column)), p).alias(name) for name, column, p in wanted]
-
-
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str, float]], one_task_bytes: int = ONE_TASK_BYTES
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[tuple[str, str, float]]) -> DataFrame:
     """One row per group of ``keys`` with a column per wanted ``(name, column, fraction)``.
 
-    A source whose size is known to be small is aggregated directly. Otherwise the brackets,
-    a few numbers per group, are computed at once and stored, and the rest is lazy.
+    One plan for all sizes, and lazy: the source is read for the brackets, a few numbers per
+    group, and once more for the counts.
     """
-    if fits_one_task(df, one_task_bytes):
-        return df.groupBy(*map(as_column, keys)).agg(*percentile_aggregates(wanted))
     fractions = sorted({p for _, _, p in wanted})
     bounds = [min(1.0, max(0.0, p + side)) for p in fractions for side in (-MARGIN, MARGIN)]
     cells = [
@@ -66,7 +56,7 @@ def exact_percentiles(
     # All rows below a bracket become one row with their largest value, all above one with their smallest.
     inside = F.when(v.between(low, high), v)
     counted = (
-        long.join(stored(bracket), same_group)
+        long.join(bracket, same_group)
         .select(*by, cell.alias("cell"), inside.alias("inside"), "v", "rank")
         .groupBy(*by, "cell", "inside")
         .agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("rank"), F.min("v").alias("least"), F.max("v").alias("most"))

@@ -12,9 +12,6 @@ from tallyframe.operators.metrics import filled
 from tallyframe.operators.normalize import share
 from tallyframe.operators.views import Calc
 
-# More columns than this are not a readable table; Spark's own pivot limit is the same.
-MAX_PIVOT_COLUMNS = 10_000
-
 
 def pivot_axis(cells: DataFrame) -> DataFrame:
     """Distinct labels of the second axis in display order: ascending, the folded rest last."""
@@ -23,11 +20,8 @@ def pivot_axis(cells: DataFrame) -> DataFrame:
 
 
 def axis_values(cells: DataFrame) -> list[str]:
-    """The axis as column names, for :func:`pivot`; refuses an axis too long to be columns."""
-    values = [r[0] for r in pivot_axis(cells).limit(MAX_PIVOT_COLUMNS + 1).collect()]
-    if len(values) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"the second axis has more than {MAX_PIVOT_COLUMNS} labels; fold it with top_n")
-    return values
+    """The axis as column names, for :func:`pivot`; an axis too long for columns goes to :func:`long_cells`."""
+    return [r[0] for r in pivot_axis(cells).collect()]
 
 
 def row_totals(cells: DataFrame, metric: str, calc: Calc | None = None) -> DataFrame:
@@ -43,7 +37,9 @@ def pivot(cells: DataFrame, metric: str, values: Sequence[str] | None = None, ca
     """Labels down, second axis across, a ``total`` column; largest totals first."""
     values = axis_values(cells) if values is None else list(values)
     dated = cells.where(filled("date_label"))
-    wide = dated.groupBy("label").pivot("date_label", values).agg(F.first(as_column(metric)))
+    # labels that were equal only after trimming meet in one cell: they add up, a formula is evaluated again
+    cell = F.sum(as_column(metric)) if calc is None else calc.column(lambda c: F.sum(as_column(c)))
+    wide = dated.groupBy("label").pivot("date_label", values).agg(cell)
     if calc is None:
         parts = [zero_if_null(as_column(v)) for v in values]
         total = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
@@ -53,6 +49,13 @@ def pivot(cells: DataFrame, metric: str, values: Sequence[str] | None = None, ca
     return out.orderBy(F.desc_nulls_last("total"), "label")
 
 
+def long_cells(cells: DataFrame, metric: str, calc: Calc | None = None) -> DataFrame:
+    """The pivot in long form, for an axis of any length: ``label, date_label, value, total, share`` of the total."""
+    value = F.sum(as_column(metric)) if calc is None else calc.column(lambda c: F.sum(as_column(c)))
+    one = cells.where(filled("date_label")).groupBy("label", "date_label").agg(value.alias("value"))
+    return one.join(row_totals(cells, metric, calc), "label").withColumn("share", share("value", F.col("total")))
+
+
 def total_shares(totals: DataFrame) -> DataFrame:
     """Each row total's share of the grand total."""
     grand = totals.agg(F.sum("total")).scalar()

@@ -118,6 +118,7 @@ def column_statistics(df: DataFrame) -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.sum(v * F.col("n")).alias("sum"),
+        count_where(v.isNotNull()).alias("finite_count"),
     )
     first = F.row_number().over(Window.partitionBy("column").orderBy("text"))
     samples = (
@@ -131,7 +132,7 @@ def column_statistics(df: DataFrame) -> DataFrame:
         .join(medians, F.col("column") == F.col("__m"), "left")
         .select(
             "column", "total_values", "null_count", "unique_count", "numeric_count", "text_count", "boolean_count",
-            "samples", "min", "max", F.try_divide("sum", "numeric_count").alias("avg"), "sum", "median",
+            "samples", "min", "max", F.try_divide("sum", "finite_count").alias("avg"), "sum", "median",
         )
         .where(F.col("total_values") > 0)
     )

@@ -17,7 +17,6 @@ from tallyframe.functions.numeric import as_column, finite, num
 from tallyframe.functions.text import point_decimal, trim_all
 from tallyframe.operators.metrics import Agg, Metric, MetricGroup
 from tallyframe.operators.views import Calc
-from tallyframe.session import shared_folder
 
 # Words that mark a total row.
 TOTAL_KEYWORDS = ("итого", "всего", "total")
@@ -26,7 +25,6 @@ PLAIN_NUMBER = r"^-?\d+(?:[.,]\d+)?$"
 CODE_LIKE = r"[:/]|^0\d"
 METRIC_SHARE = 0.6
 SPARSE_HEADER_SHARE = 0.6
-PREVIEW_NODES = 200
 NO_GROUP = "(без группы)"
 # Rows per block of the carry: the most that one task puts in order.
 CARRY_BLOCK = 65_536
@@ -249,7 +247,7 @@ def extract_nodes(matrix: DataFrame, layout: Layout, columns: Sequence[ReportCol
     return node_table(carry_keys(matrix, layout, block, leaves=False), layout, columns)
 
 
-def hierarchy_preview(matrix: DataFrame, layout: Layout, max_nodes: int | None = PREVIEW_NODES) -> DataFrame:
+def hierarchy_preview(matrix: DataFrame, layout: Layout, max_nodes: int | None = None) -> DataFrame:
     """Distinct ancestor paths of the data rows, ``path, parent, label, level``, in order of appearance.
 
     Total rows are left out; a row's path ends at its first empty key.
@@ -294,31 +292,27 @@ def roll_up(values: DataFrame, depth: int, by: Sequence[str] = ()) -> DataFrame:
     synthetic root (empty path) sums the top nodes that are no totals, unless the file has
     a root of its own.
 
-    The nodes are written once to the shared folder, partitioned by level, and the levels
-    are then rolled deepest first: a level is one sum over the level below, read back from
-    the folder, joined to its own nodes. Nothing is computed twice, and a lost executor
-    repeats one level at most.
+    One lazy plan for any depth: every own value is sent to its ancestors, up to and including the nearest one
+    that has a value of its own or to the last before a missing row, and added up once.
     """
-    spark = values.sparkSession
-    folder = shared_folder(spark)
     names = [*by, "path", "column"]
-    cells = [*names, "is_total", "own"]
-    values.select(*cells, F.size("path").alias("size")).write.partitionBy("size").parquet(f"{folder}/nodes")
-    schema = values.select(*cells).withColumn("size", F.lit(0)).schema
-    nodes = spark.read.schema(schema).parquet(f"{folder}/nodes")
-
     none = F.lit(None).cast("double")
-    deepest = nodes.where(F.col("size") == depth).withColumn("children_sum", none)
-    below, parts = deepest.withColumn("value", F.col("own")), [deepest.withColumn("value", F.col("own"))]
-    for size in range(depth - 1, -1, -1):
-        parent = F.slice("path", 1, size).alias("path")
-        sums = below.groupBy(*by, parent, "column").agg(F.sum("value").alias("children_sum"))
-        level = nodes.where(F.col("size") == size).join(sums, names, "left")
-        level.withColumn("value", F.coalesce("own", "children_sum")).write.parquet(f"{folder}/level{size}")
-        level_schema = schema.add("children_sum", "double").add("value", "double") if size == depth - 1 else level_schema
-        below = spark.read.schema(level_schema).parquet(f"{folder}/level{size}")
-        parts.append(below)
-    whole = reduce(DataFrame.unionByName, parts)
+    nodes = values.select(*names, "is_total", "own", F.size("path").alias("size")).where(F.col("size") <= depth)
+    up = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("to")
+    sent = nodes.where(F.col("own").isNotNull() & (F.col("size") > 0)).select(*names, "own", "size", up)
+    sent = sent.select(*[as_column(c).alias(f"__{c}") for c in by], F.col("path").alias("from"), "column", F.slice("path", 1, F.col("to")).alias("path"), F.col("own").alias("v"), "size", "to")
+    same = [as_column(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    at = nodes.select(*by, F.col("path").alias("at"), F.col("column").alias("of"), F.col("own").alias("has"))
+    met = sent.join(at, [*same, F.col("path") == F.col("at"), F.col("column") == F.col("of")])
+    # an ancestor is reached if all nearer ones exist and none of them has a value of its own
+    nearer = Window.partitionBy(*[f"__{c}" for c in by], "from", "column").orderBy(F.desc("to")).rowsBetween(Window.unboundedPreceding, -1)
+    free = F.count_if(F.col("has").isNull()).over(nearer)
+    reached = met.withColumn("free", free).where(F.col("free") == F.col("size") - 1 - F.col("to"))
+    sums = reached.groupBy(*by, "path", "column").agg(F.sum("v").alias("children_sum"))
+    back = sums.select(*[as_column(c).alias(f"__{c}") for c in by], F.col("path").alias("at"), F.col("column").alias("of"), "children_sum")
+    whole = nodes.join(back, [*same, F.col("path") == F.col("at"), F.col("column") == F.col("of")], "left").select(
+        *names, "is_total", "own", "size", "children_sum", F.coalesce("own", "children_sum").alias("value")
+    )
 
     size = F.col("size")
     known = nodes.select(*by, F.col("path").alias("parent")).distinct()

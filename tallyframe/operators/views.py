@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.display import display_scale, format_value, meets, rule_color
 from tallyframe.functions.formula import Term, result_column
@@ -18,9 +18,7 @@ from tallyframe.session import stored
 
 PAGE_SIZE = 50
 # Rows up to which a page is taken as a top-k.
-HEAD_ROWS = 100_000
 SERIES_LIMIT = 8
-CHART_METRICS = 5
 RELATIVE_EPSILON = 1e-9
 
 
@@ -121,36 +119,42 @@ def search(rows: DataFrame, text: str, name: str | None = None) -> DataFrame:
     return rows.where(hit | F.lower(as_column(name)).contains(needle) if name else hit)
 
 
-def sort_rows(rows: DataFrame, key: str = "label", descending: bool = False) -> DataFrame:
-    """Sort by label (natural order), record count, or a metric whose nulls count as minus infinity."""
+def row_order(key: str = "label", descending: bool = False) -> list[Column]:
+    """The order by label (natural), record count, or a metric whose nulls count as minus infinity."""
     if key == "label":
         k = natural_key("label")
-        return rows.orderBy(*([k.desc(), F.desc("label")] if descending else [k.asc_nulls_last(), F.asc_nulls_last("label")]))
+        return [k.desc(), F.desc("label")] if descending else [k.asc_nulls_last(), F.asc_nulls_last("label")]
     k = as_column(key)
-    return rows.orderBy(k.desc_nulls_last() if descending else k.asc_nulls_first(), F.asc_nulls_last("label"))
+    return [k.desc_nulls_last() if descending else k.asc_nulls_first(), F.asc_nulls_last("label")]
+
+
+def sort_rows(rows: DataFrame, key: str = "label", descending: bool = False) -> DataFrame:
+    """The rows in :func:`row_order`."""
+    return rows.orderBy(*row_order(key, descending))
 
 
-def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int = PAGE_SIZE, head: int = HEAD_ROWS) -> DataFrame:
-    """One page, from 1, of rows in a given order; the number is clamped to the pages there are.
+def placed(rows: DataFrame, order: Sequence[Column | str], into: str = "place") -> DataFrame:
+    """Rows with their place, from 1, in a given order; ties are decided by the other columns.
 
-    A page near the start is a top-k. A deep one would carry all rows before it to one
-    place, so there the sorted rows are stored and picked by their number in their partition.
+    The sorted rows are stored with their number in their partition, to which the rows of earlier partitions are
+    added: no window over all rows.
     """
-    last = max(1, -(-rows.count() // size))
-    start = (min(max(1, number), last) - 1) * size
-    if start + size <= head:
-        return rows.orderBy(*order).offset(start).limit(size)
-    numbered = stored(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
-    first_id = F.shiftleft(F.shiftright("__id", 33), 33)
-    parts = numbered.groupBy(first_id.alias("first")).count().orderBy("first").collect()
-    wanted, before = F.lit(False), 0
-    for part in parts:
-        low, high = max(start, before), min(start + size, before + part["count"])
-        if low < high:
-            shift = part["first"] - before
-            wanted = wanted | F.col("__id").between(low + shift, high - 1 + shift)
-        before += part["count"]
-    return numbered.where(wanted).orderBy("__id").drop("__id")
+    ties = [as_column(f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+    kept = stored(rows.orderBy(*order, *ties).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy(part.alias("__part")).count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return kept.join(starts, part == F.col("__part")).withColumn(into, place).drop("__id", "__part", "__start")
+
+
+def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int = PAGE_SIZE) -> DataFrame:
+    """One page, from 1, of rows in a given order; the number is clamped to the pages there are."""
+    numbered = placed(rows, order, "__place")
+    rows_there = numbered.agg(F.max("__place").alias("n")).scalar()
+    last = F.greatest(F.ceil(F.coalesce(rows_there, F.lit(0)) / size), F.lit(1))
+    start = (F.least(F.lit(max(1, number)), last) - 1) * size
+    return numbered.where((F.col("__place") > start) & (F.col("__place") <= start + size)).orderBy("__place").drop("__place")
 
 
 def top_series(cells: DataFrame, totals: DataFrame, metric: str, n: int = SERIES_LIMIT, chosen: Sequence[str] | None = None) -> DataFrame:
@@ -168,9 +172,7 @@ def treemap(rows: DataFrame, metric: str, fmt: str | None = None) -> DataFrame:
 
 def chart_table(rows: DataFrame, metrics: Sequence[str], formats: Mapping[str, str | None] | None = None,
                 thresholds: Mapping[str, float] | None = None) -> DataFrame:
-    """Label and up to five metrics in display scale, missing as 0, with constant threshold columns."""
-    if len(metrics) > CHART_METRICS:
-        raise ValueError(f"a chart shows at most {CHART_METRICS} metrics")
+    """Label and metrics in display scale, missing as 0, with constant threshold columns."""
     formats = formats or {}
     return rows.select(
         "label",

@@ -31,7 +31,7 @@ class ReportImport:
 
 
 def import_report(matrix: DataFrame, layout: Layout) -> ReportImport:
-    """Import the files of a matrix under one layout.
+    """Import the files of a matrix under one layout; nodes are valued and rolled up file by file.
 
     The matrix is read twice: once to find the columns, once to carry the keys. The
     carried rows are stored, and leaves and nodes are both taken from there.
@@ -39,5 +39,5 @@ def import_report(matrix: DataFrame, layout: Layout) -> ReportImport:
     columns = detect_columns(matrix, layout)
     carried = stored(carry_keys(matrix, layout))
     nodes = node_table(carried, layout, columns)
-    rolled = roll_up(node_values(nodes), len(layout.key_columns))
+    rolled = roll_up(node_values(nodes, ["file_id"]), len(layout.key_columns), ["file_id"])
     return ReportImport(columns, leaf_table(carried, layout, columns), nodes, rolled)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +25,14 @@ def local_session(cores: int | str = "*", name: str = "tallyframe", memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path under the folder all executors share.
+    """A fresh path under the folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session without the setting may use a folder of this machine.
+    Where that is unset, as in tests, a folder of the warehouse is set, which every session has.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallyframe-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
 
 
@@ -47,16 +45,3 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-# Source size up to which a group may be aggregated inside one task.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    """Whether Spark's size estimate of the frame is within the limit; unknown sizes are not."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size)) <= limit
-    except AttributeError:
-        return False

@@ -11,13 +11,12 @@ from tallyframe.functions.numeric import as_column, num
 from tallyframe.functions.text import SPACE, clean_cells, trim_all
 from tallyframe.operators.filters import CLASSIFICATION
 from tallyframe.operators.report import ReportColumn
+from tallyframe.sources.matrix import split_cells
 
-# Row limits of a preview, of a table sync and of one exported piece.
+# Rows of a preview and of one exported piece, where the caller names no number.
 PREVIEW_ROWS = 500
-PREVIEW_CAP = 5_000
-SYNC_CAP = 50_000
 EXPORT_PIECE_ROWS = 100_000
-OVERFLOW = "__overflow"
+RECORD = "__record"
 
 
 def typed(c: Column, classification: str, decimal: str = ".", date_format: str | None = None) -> Column:
@@ -38,16 +37,26 @@ def read_csv(
     sep: str = ",",
     decimal: str = ".",
     date_format: str | None = None,
+    quoted_breaks: bool = True,
+    rejects: bool = False,
 ) -> DataFrame:
     """Delimited text with a header, each column typed by its classification.
 
     ``columns`` maps the names in file order to ``numeric``, ``categorical``, ``date`` or
     ``ignore``; codes in categorical columns keep their leading zeros. Short rows are padded
-    with nulls, rows with too many cells are dropped. ``date_format`` is a Spark pattern.
+    with nulls. Rows with too many cells are left out; with ``rejects`` they are what is
+    given, as ``record``. ``date_format`` is a Spark pattern. Quoted cells may hold line breaks; such files are
+    read by one task each, so say ``quoted_breaks=False`` of large files that are known to have none.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*columns, OVERFLOW]])
-    raw = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', header=True, mode="PERMISSIVE")
-    rows = raw.where(F.col(OVERFLOW).isNull())
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*columns, RECORD]])
+    raw = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', header=True, mode="PERMISSIVE",
+                         columnNameOfCorruptRecord=RECORD, multiLine=quoted_breaks)
+    # Spark keeps the record of a row whose number of cells is not the header's
+    overlong = F.coalesce(F.size(split_cells(F.rtrim(F.col(RECORD), F.lit("\r\n")), sep)) > len(columns), F.lit(False))
+    if rejects:
+        beside = F.left(F.coalesce(as_column(next(iter(columns))), F.lit("")), F.lit(0))  # Spark wants another column read with it
+        return raw.where(overlong).select(F.concat(F.col(RECORD), beside).alias("record"))
+    rows = raw.where(~overlong)
     return rows.select(
         *[
             typed(as_column(n), kind, decimal, date_format).alias(n, metadata={CLASSIFICATION: kind})
@@ -79,14 +88,14 @@ def export_pieces(df: DataFrame, path: str, rows: int = EXPORT_PIECE_ROWS) -> Da
     return save_dataset(df, path, max_rows_per_file=rows)
 
 
-def preview(df: DataFrame, rows: int = PREVIEW_ROWS, cap: int = PREVIEW_CAP) -> DataFrame:
-    """The first rows, at least one and at most the cap."""
-    return df.limit(max(1, min(rows, cap)))
+def preview(df: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows, as many as asked for, at least one."""
+    return df.limit(max(1, rows))
 
 
-def sync(df: DataFrame, rows: int = SYNC_CAP) -> DataFrame:
-    """The capped load of a database table, for a reader such as ``spark.read.jdbc``."""
-    return preview(df, rows, SYNC_CAP)
+def sync(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The load of a database table, for a reader such as ``spark.read.jdbc``: whole unless a number is given."""
+    return df if rows is None else preview(df, rows)
 
 
 def key_value_pairs(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,21 +5,15 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+import catalog
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-# A cross-section; tools/check_queries.py runs them all.
-NAMES = [
-    "avg_a2", "count_distinct_a5", "many_groups_one_pass_a13", "total_row_a16", "date_week_b2", "top_n_fold_b6", "numeric_buckets_b7",
-    "comparisons_f2", "display_filter_f8", "dictionary_lookup_j1", "share_of_period_w4", "close_values_w10", "pivot_o8",
-    "format_value_v3", "roll_up_h12", "csv_scan_s1", "clean_cells_s11",
-]
-
 
 def test_registry():
-    queries, sql = entry_point.queries(), entry_point.oracle_sql()
-    assert set(sql) <= set(queries) and set(queries) - set(sql) == {"dialect_sniff_s20"}
+    assert set(catalog.SQL) == set(catalog.QUERIES) <= set(entry_point.queries())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):
@@ -27,7 +21,7 @@ def test_entry(spark):
     assert rows[-1]["label"] == "Итого" and rows[-1]["record_count"] == sum(r["record_count"] for r in rows[:-1])
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, name):
     from tools.check_queries import TABLES, kinds, normal
 

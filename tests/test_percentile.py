@@ -12,7 +12,7 @@ def check(spark, groups, wanted):
     rows = [(g, v) for g, values in groups.items() for v in values]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "g string, v double")
-    out = P.exact_percentiles(df, ["g"], [(f"p{i}", "v", p) for i, p in enumerate(wanted)], one_task_bytes=0)
+    out = P.exact_percentiles(df, ["g"], [(f"p{i}", "v", p) for i, p in enumerate(wanted)])
     got = {r["g"]: r for r in out.collect()}
     assert set(got) == set(groups)
     for g, values in groups.items():
@@ -46,10 +46,10 @@ def test_coarse_sketch_is_still_exact(spark, monkeypatch):
     check(spark, {"a": [rng.uniform(0, 1) for _ in range(3_000)], "b": [float(i) for i in range(1_001)]}, [0.3, 0.5])
 
 
-def test_both_ways_agree_and_missing_values_do_not_count(spark):
+def test_missing_values_do_not_count_and_the_plan_is_lazy(spark):
     rows = [("a", None), ("a", 1.0), ("a", float("nan")), ("a", 3.0), (None, 5.0), ("empty", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    wanted = [("m", "v", 0.5)]
-    far = {r["g"]: r["m"] for r in P.exact_percentiles(df, ["g"], wanted, one_task_bytes=0).collect()}
-    near = {r["g"]: r["m"] for r in P.exact_percentiles(df, ["g"], wanted, one_task_bytes=1 << 62).collect()}
-    assert far == {"a": 2.0, None: 5.0} and {k: v for k, v in near.items() if v is not None} == far
+    spark.sparkContext.setJobGroup("lazy", "building percentiles")
+    out = P.exact_percentiles(df, ["g"], [("m", "v", 0.5)])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    assert {r["g"]: r["m"] for r in out.collect()} == {"a": 2.0, None: 5.0}

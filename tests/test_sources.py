@@ -108,4 +108,40 @@ def test_align_append_and_pieces(spark, frame, tmp_path):
     assert {tuple(r) for r in parts.collect()} == {(1, None), (2, "z")}
     back = S.export_pieces(spark.range(250).coalesce(1), str(tmp_path / "p"), rows=100)
     assert back.groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).collect()[0][0] <= 100 and back.count() == 250
-    assert S.preview(spark.range(10), 0).count() == 1 and S.preview(spark.range(9000), 9000).count() == 5000
+    assert S.preview(spark.range(10), 0).count() == 1 and S.preview(spark.range(9000), 9000).count() == 9000
+    assert S.sync(spark.range(60_000)).count() == 60_000 and S.sync(spark.range(100), 7).count() == 7
+
+
+def matrix_rows(spark, folder, **k):
+    return {(r["file_id"].rsplit("/", 1)[-1], r["row_idx"]): r["cells"] for r in M.read_matrix(spark, str(folder), **k).collect()}
+
+
+def test_matrix_takes_quoted_breaks_wide_rows_and_carriage_returns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\n"x, ""y""\nz",2\n,\n')
+    (tmp_path / "b.csv").write_bytes(b"p,q\r1,2\r")
+    (tmp_path / "c.csv").write_text(",".join('"a,b"' for _ in range(20_000)) + "\n")
+    got = matrix_rows(spark, tmp_path)
+    assert got["a.csv", 0] == ["h1", "h2"] and got["a.csv", 1] == ['x, "y"\nz', "2"] and got["a.csv", 2] == ["", ""]
+    assert got["b.csv", 0] == ["p", "q"] and got["b.csv", 1] == ["1", "2"]
+    assert got["c.csv", 0] == ["a,b"] * 20_000 and len(got) == 6
+
+
+def test_matrix_rows_do_not_depend_on_splits(spark, tmp_path):
+    text = "".join(f'{i},"a\nb {i}"\n' if i % 97 == 0 else f"{i},v\n" for i in range(30_000))
+    (tmp_path / "big.csv").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        rows = M.read_matrix(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "17000")
+        got = {r["row_idx"]: r["cells"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {i: [str(i), f"a\nb {i}" if i % 97 == 0 else "v"] for i in range(30_000)}
+
+
+def test_overlong_rows_are_left_out_and_can_be_seen(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,2\n1,2,,9\n1,2,\n3\n4,"x\ny"\n5,6,7\n')
+    read = lambda **k: S.read_csv(spark, str(tmp_path), {"a": "numeric", "b": "categorical"}, **k)
+    assert sorted(map(tuple, read().collect()), key=str) == [(1.0, "2"), (3.0, None), (4.0, "x\ny")]
+    assert len(read(rejects=True).collect()) == 3

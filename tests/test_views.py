@@ -116,7 +116,7 @@ def test_pages(spark):
     assert V.page(df.where("id < 0"), ["id"], 4).collect() == []
     big = spark.range(5000).repartition(7)
     for n in (1, 37, 100):
-        assert [r["id"] for r in V.page(big, [F.desc("id")], n, head=0).collect()] == list(range(5000 - 50 * (n - 1) - 1, 5000 - 50 * n - 1, -1))
+        assert [r["id"] for r in V.page(big, [F.desc("id")], n).collect()] == list(range(5000 - 50 * (n - 1) - 1, 5000 - 50 * n - 1, -1))
 
 
 def test_search_treemap_and_chart(frame):
@@ -125,8 +125,14 @@ def test_search_treemap_and_chart(frame):
     assert [tuple(r) for r in V.treemap(df, "m", "percent").collect()] == [("01", 50.0)]
     chart = V.chart_table(df, ["m"], {"m": "percent"}, {"limit": 7}).collect()
     assert [(r["m"], r["limit"]) for r in chart] == [(50, 7), (-100, 7), (0, 7)]
-    with pytest.raises(ValueError):
-        V.chart_table(df, ["m"] * 6)
+    many = df.select("label", *[F.col("m").alias(f"m{i}") for i in range(6)])
+    assert len(V.chart_table(many, [f"m{i}" for i in range(6)]).columns) == 7
+
+
+def test_places_are_the_same_for_ties(frame):
+    df = frame([(i % 3, chr(97 + i % 7)) for i in range(60)], "k int, v string").repartition(5)
+    got = [tuple(r) for r in V.placed(df, ["k"]).orderBy("place").collect()]
+    assert got == [(k, v, i + 1) for i, (k, v) in enumerate(sorted((i % 3, chr(97 + i % 7)) for i in range(60)))]
 
 
 def test_steps_of_a_view(frame):
