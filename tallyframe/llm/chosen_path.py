@@ -46,7 +46,7 @@ class Join:
     deeper: int = 12  # tokens that nodes below the root select from
     signature: int = 192
     similar: float = 0.64  # 3.5 standard errors of the signature below the threshold
-    leaf: int = 600
+    leaf: int = 1000
     depth: int = 5
     pivots: int = 32
 
@@ -144,7 +144,6 @@ def leaves(vertices: DataFrame, join: Join) -> DataFrame:
     """(set_id, node) of all nodes that are compared: two vertices or more, ``leaf`` at most."""
     level, found = _children(vertices.select("set_id", "path"), join, root=True), []
     for depth in range(join.depth + 1):
-        level = stored(level)
         sizes = level.groupBy("node").count().where("count > 1")
         level = stored(level.join(sizes, "node"))
         found.append(level.where(F.col("count") <= join.leaf).select("set_id", "node"))
@@ -246,9 +245,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return counted.where(100 * F.col("both") >= join.threshold * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def _stars(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(v, smallest vertex) of the components within each ``most`` edges."""
+    parent: dict[bytes, bytes] = {}
+
+    def top(v: bytes) -> bytes:
+        while (p := parent.setdefault(v, v)) != v:
+            parent[v] = parent.setdefault(p, p)
+            v = p
+        return v
+
+    def out() -> Iterator[pa.RecordBatch]:
+        star = [(v, top(v)) for v in list(parent)]
+        star = [(v, r) for v, r in star if v != r]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in star], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        parent.clear()
+
+    met = 0
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            p, q = top(a), top(b)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+        met += batch.num_rows
+        if met >= most:
+            yield from out()
+            met = 0
+    yield from out()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of (a, b): the smallest vertex of its component, by large-star and small-star steps."""
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    """(v, root) for every vertex of (a, b): the smallest vertex of its component, by large-star and small-star steps.
+
+    Before the steps every task joins the edges it reads, in bounded chunks, to stars of their own; the steps then
+    have short ways to go.
+    """
+    edges = stored(stored(edges.select("a", "b")).mapInArrow(_stars, "a binary, b binary"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -277,15 +309,15 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     spanning = stored(similar_pairs(met.join(traits, "set_id"), join, across=False))
     touched = stored(spanning.select(F.col("a").alias("set_id")).unionByName(spanning.select(F.col("b").alias("set_id"))).distinct())
     sets = stored(_full_sets(docs, touched.join(vertices.select("set_id", "first_id"), "set_id"), join, id_col, text_col))
-    links = stored(confirmed(spanning, sets, join))
-    roots = stored(components(links))
+    roots = components(confirmed(spanning, sets, join))
     placed = touched.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
     apart = similar_pairs(met.join(traits, "set_id").join(placed, "set_id"), join, across=True)
-    more = confirmed(stored(apart.join(spanning, ["a", "b"], "left_anti")), sets, join)
-    final = stored(components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    more = confirmed(apart.join(spanning, ["a", "b"], "left_anti"), sets, join)
+    final = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     first = vertices.join(final, F.col("set_id") == F.col("v"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-    label = stored(first).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_set = stored(first.join(label, "root").select(F.col("set_id").alias("of_set"), "component_id"))
+    first = stored(first)
+    label = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_set = first.join(label, "root").select(F.col("set_id").alias("of_set"), "component_id")
     out = own.select("id", "n_shingles", "set_id").join(by_set, F.col("set_id") == F.col("of_set"), "left")
     return out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
