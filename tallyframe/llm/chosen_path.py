@@ -2,15 +2,17 @@
 
 A document is its set of word shingles. Documents with equal sets are one vertex. Every vertex walks down
 ``trees`` independent random trees: at a node a minwise token of the set is selected and the vertex goes to the
-child of that token's value; nodes below the root select two, so a vertex takes several paths. Only nodes of
-more than ``leaf`` vertices are branched again. A node that is small is compared exhaustively by signatures, and
+child of that token's value; below the root one node in three selects a second token, so a vertex takes several
+paths, 4 / 3 for the share of 3 / 4 that a pair at the threshold has in common. Only nodes of more than ``leaf``
+vertices are branched again, two levels at a time. A node that is small is compared exhaustively by signatures, and
 what looks similar is confirmed on the full sets. A pair at the threshold shares a root child with probability
-``threshold`` in each tree, so 12 trees miss it with 0.25 ** 12, and deeper nodes with little more.
+``threshold`` in each tree, so 12 trees miss it with 0.25 ** 12; within nodes of more than ``leaf`` vertices, where
+only passages that very many documents share can bring it, they miss it with about 0.5 ** 12 a branching.
 
 Links come in two passes. The first takes from every node the strongest edges that hold its similar vertices
 together, a number linear in the node. When those are confirmed and joined into components, the second pass takes
 every similar pair that still lies across two components. So large groups of near copies cost no pairs within
-them, and no link between groups is lost. A node that ``depth`` levels could not make small holds texts that agree
+them, and no link between groups is lost. A node that ``depth`` branchings could not make small holds texts that agree
 on that many random tokens; it is cut into blocks that all share a set of pivots.
 
 Nothing of data size reaches the driver; components are found by alternating large-star and small-star steps.
@@ -46,8 +48,8 @@ class Join:
     deeper: int = 12  # tokens that nodes below the root select from
     signature: int = 192
     similar: float = 0.64  # 3.5 standard errors of the signature below the threshold
-    leaf: int = 1000
-    depth: int = 5
+    leaf: int = 2500
+    depth: int = 3  # branchings, of two levels each
     pivots: int = 32
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,12 +132,16 @@ def _children(rows: DataFrame, join: Join, root: bool) -> DataFrame:
             else:
                 node = b.column("node").to_numpy().view(np.uint64)
                 pick = _mix(node + np.uint64(1))
-                first = trees + (pick % np.uint64(deeper)).astype(np.int64)
-                second = trees + ((pick % np.uint64(deeper) + np.uint64(1) + (pick >> np.uint64(32)) % np.uint64(deeper - 1)) % np.uint64(deeper)).astype(np.int64)
-                nodes = [_mix(path[every, c] ^ _mix(node + np.uint64(c_no))) for c_no, c in ((2, first), (3, second))]
+                # four different tokens of the node: two levels down, on each a second child for one node in three
+                token = [trees + ((pick + np.uint64(3 * i)) % np.uint64(deeper)).astype(np.int64) for i in range(4)]
+                child = lambda n, i: _mix(path[every, token[i]] ^ _mix(n + np.uint64(i)))
+                first = child(node, 0)
+                more = [(pick >> np.uint64(s)) % np.uint64(3) == 0 for s in (20, 40)]
+                nodes = [child(first, 1), np.where(more[0], child(child(node, 2), 1), np.uint64(0)), np.where(more[1], child(first, 3), np.uint64(0))]
             ids = b.column("set_id")
             for n in nodes:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n.view(np.int64))], names=["set_id", "node"])
+                out = pa.RecordBatch.from_arrays([ids, pa.array(n.view(np.int64))], names=["set_id", "node"])
+                yield out if root else out.filter(pa.array(n != 0))
 
     return rows.mapInArrow(step, "set_id binary, node long")
 
@@ -168,6 +174,7 @@ def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
     signature[, root]). Without ``across`` only the strongest edges that span a node's similar vertices; with it
     all pairs of different roots."""
     least, size_share, width = int(np.ceil(join.similar * join.signature)), join.threshold / 100, join.signature
+    least_head = int(48 * (join.similar - 0.2))  # of the first 48, 4.7 standard errors below the threshold
     keys = ["node", "set_id", "n_shingles", "signature", *(["root"] if across else [])]
 
     def compare(ids: list[bytes], n: np.ndarray, sig: np.ndarray, roots: list[bytes] | None) -> Iterator[tuple[bytes, bytes]]:
@@ -176,6 +183,7 @@ def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
             if code.max() == 0:
                 return
         found = []
+        head = np.ascontiguousarray(sig[:, :48])
         for x in range(len(ids) - 1):
             ok = np.minimum(n[x + 1 :], n[x]) >= size_share * np.maximum(n[x + 1 :], n[x])
             if roots is not None:
@@ -183,6 +191,7 @@ def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
             y = np.flatnonzero(ok)
             if not len(y):
                 continue
+            y = y[(head[y + x + 1] == head[x]).sum(axis=1) >= least_head]
             agree = (sig[y + x + 1] == sig[x]).sum(axis=1)
             for j in np.flatnonzero(agree >= least):
                 pair = (x, x + 1 + int(y[j]))
