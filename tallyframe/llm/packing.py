@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from tallyframe.llm.common import WORD, map_rows, stored, texts
 
 _WORD = re.compile(WORD)
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_INTS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+_LATIN = re.compile("[^\0-\xff]")
 _REST = 1 << 62
 
 
@@ -58,6 +57,11 @@ class Classes:
         return out
 
 
+def _latin(text: str) -> bool:
+    """No character above U+00FF."""
+    return _LATIN.search(text) is None
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that drops white space: words are encoded apart and met ones looked up."""
 
@@ -66,12 +70,15 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the names of special tokens are ordinary text in a document
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.size, self.known, self.older, self.parts = memo, {}, {}, {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if text.isascii():
-            text = text.lower()
+        if text.isascii() or _latin(text):
+            text = text.lower()  # as the tokenizer does; here no letter's case hangs on its neighbours or on composition
         # str.split also parts at four separators that the tokenizer keeps
         words = text.split() if _SEPARATORS.search(text) is None else _WORD.findall(text)
         ids = list(map(self.known.get, words))
@@ -94,7 +101,7 @@ class WordIds:
 
     def _encode(self, words: set[str]) -> None:
         """Closing stops and commas after a letter are pieces of their own, and ASCII letters lose case anyway."""
-        if len(self.parts) > self.size:
+        if len(self.parts) > 2 * self.size:
             self.parts = {}
         known, parts, split = self.known, self.parts, []
         for w in words:
@@ -105,12 +112,28 @@ class WordIds:
                 tail = w[len(core) :]
             split.append((w, core.lower() if core.isascii() else core, tail))
         todo = list({p for _, core, tail in split for p in (core, tail)}.difference(parts))
+        letters = [p for p in todo if p.isalpha()]
+        if self._joined(letters):
+            todo = [p for p in todo if not p.isalpha()]
         for p, e in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            ids = e.ids
-            parts[p] = _INTS[len(ids)](*ids) if len(ids) < len(_INTS) else np.array(ids, "<u4").tobytes()
+            parts[p] = np.array(e.ids, "<u4").tobytes()
         for w, core, tail in split:
             known[w] = parts[core] + parts[tail] if tail else parts[core]
 
+    def _joined(self, letters: list[str]) -> bool:
+        """Encode words of letters in one text; each has one token that ends a word, its last. False if not so."""
+        if not letters:
+            return True
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(ends) != len(letters):
+            return False
+        data, start = ids.tobytes(), 0
+        for p, end in zip(letters, ends):
+            self.parts[p] = data[start:end]
+            start = end
+        return True
+
 
 _CODERS: dict[str, WordIds] = {}
 

@@ -7,7 +7,7 @@ secret of kind ``markov`` if the ratio is at least ``min_ratio`` in all and ``mi
 The labelled samples come from the documents: random strings are the values that the patterns find, in about
 ``RANDOM_DOCS`` documents, identifiers are the other runs of ``MIN_IDENTIFIER`` or more characters, in about
 ``PLAIN_DOCS`` documents; both are chosen by a hash of the row. Of small tables all rows are taken. Pseudo-counts
-stand for what a sample lacks, so an empty sample still gives a usable model.
+stand for what a sample lacks: even ones for random strings, the usual characters for identifiers.
 
 All of it is DataFrame functions. Positions are code points, ends exclusive: the parts between the matches
 (``split``) and the matches (``regexp_extract_all``) have lengths that add up to them.
@@ -91,13 +91,21 @@ def _pairs(runs: DataFrame) -> dict[str, int]:
 def _ratios(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
     import numpy as np
 
-    def model(counts: dict[str, int], pseudo: float) -> np.ndarray:
-        m = np.full((SIZE, SIZE), pseudo)
-        for pair, n in counts.items():
+    def counted(pairs: dict[str, int]) -> np.ndarray:
+        m = np.zeros((SIZE, SIZE))
+        for pair, n in pairs.items():
             m[ALPHABET.find(pair[0]) + 1, ALPHABET.find(pair[1]) + 1] += n
+        return m
+
+    def model(m: np.ndarray, pseudo: float, backoff: np.ndarray) -> np.ndarray:
+        m = m + pseudo * SIZE * backoff
         return np.log(m / m.sum(axis=1, keepdims=True))
 
-    return (model(random, RANDOM_PSEUDO) - model(ordinary, PLAIN_PSEUDO)).ravel().round(6).tolist()
+    even = np.full(SIZE, 1 / SIZE)
+    names = counted(ordinary)
+    usual = names.sum(axis=0)
+    usual = 0.9 * usual / usual.sum() + 0.1 * even if usual.sum() else even
+    return (model(counted(random), RANDOM_PSEUDO, even) - model(names, PLAIN_PSEUDO, usual)).ravel().round(6).tolist()
 
 
 def markov_spans(text: Column, ratios: list[float], base: Column, min_ratio: float = 10.0, min_mean: float = 0.6) -> Column:
