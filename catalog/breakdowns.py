@@ -77,6 +77,17 @@ def _(t):
     return rounded(Breakdown(t.lineitem, [QUANTITY], "l_returnflag", axis).rows(), 2, "quantity")
 
 
+@query("buckets_of_unclean_numbers_b7", """
+WITH v AS (SELECT CASE WHEN l_orderkey % 10 > 1 THEN l_extendedprice END AS v, l_quantity FROM lineitem), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
+SELECT lpad(CAST(least(CAST(floor((v - lo) / (hi - lo) * 12) AS BIGINT), 11) + 1 AS VARCHAR), 2, '0') AS label,
+  count(*) AS record_count, round(sum(l_quantity), 2) AS quantity FROM v, e WHERE v IS NOT NULL GROUP BY 1""")
+def _(t):
+    k = F.col("l_orderkey") % 10
+    unclean = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("-inf"))).otherwise(F.col("l_extendedprice"))
+    rows = Breakdown(t.lineitem.withColumn("v", unclean), [QUANTITY], axis=Axis("v", "bucket", buckets=12)).rows()
+    return rounded(rows, 2, "quantity")
+
+
 @query("row_cap_b8", """
 SELECT CAST(l_partkey AS VARCHAR) AS label, count(*) AS record_count, round(sum(l_quantity), 2) AS quantity
 FROM lineitem GROUP BY 1 ORDER BY sum(l_quantity) DESC, 1 LIMIT 1000""")

@@ -305,3 +305,27 @@ def _(t):
     total = report.leaves.agg(F.round(F.sum("balance"), 2).alias("value"))
     total = total.select(F.lit("leaves").alias("path"), F.lit("balance").alias("column"), "value")
     return report.rolled.select(joined("path").alias("path"), "column", "value").union(total)
+
+
+FILES_LAYOUT = Layout((0, 1, 2))
+
+
+def files_matrix(t) -> DataFrame:
+    """Three files with the same nodes and their own values: regions, some without a value, over nations."""
+    base = leaves(t).withColumn("file_id", F.concat(F.lit("file"), (F.col("c_custkey") % 3).cast("string")))
+    nations = base.groupBy("file_id", "r_regionkey", "r_name", "n_nationkey", "n_name").agg(F.sum(F.floor("c_acctbal")).alias("s"))
+    regions = nations.groupBy("file_id", "r_regionkey", "r_name").agg(F.max(F.substring("file_id", 5, 1).cast("int")).alias("f"))
+    place = F.col("r_regionkey").cast("bigint") * 1000 + 10
+    own = F.when(F.col("r_regionkey") % 2 == 1, (1000 * F.col("f") + F.col("r_regionkey")).cast("string")).otherwise("")
+    rows = regions.select("file_id", place.alias("row_idx"), cells(F.col("r_name"), "", "", own))
+    rows = rows.union(nations.select("file_id", (place + F.col("n_nationkey") + 1).alias("row_idx"), cells("", F.col("n_name"), "", whole(F.col("s")))))
+    header = nations.select("file_id").distinct().select("file_id", F.lit(0).cast("bigint").alias("row_idx"), cells("region", "nation", "client", "balance"))
+    return header.union(rows)
+
+
+@query("report_files_h12", LEAVES_SQL + """
+, n AS (SELECT 'file' || (c_custkey % 3) AS file_id, c_custkey % 3 AS f, r_regionkey, r_name, n_name, CAST(sum(floor(c_acctbal)) AS DOUBLE) AS s FROM leaves GROUP BY ALL)
+, r AS (SELECT file_id, r_name AS path, CASE WHEN r_regionkey % 2 = 1 THEN CAST(1000 * f + r_regionkey AS DOUBLE) ELSE sum(s) END AS value FROM n GROUP BY file_id, f, r_name, r_regionkey)
+SELECT file_id, r_name || '/' || n_name AS path, s AS value FROM n UNION ALL SELECT * FROM r UNION ALL SELECT file_id, '', sum(value) FROM r GROUP BY file_id""")
+def _(t):
+    return import_report(files_matrix(t), FILES_LAYOUT).rolled.select("file_id", joined("path").alias("path"), "value")

@@ -6,7 +6,7 @@ from catalog.aggregates import CLIENTS, GROUPED_SQL, RATIO_CALC, SALES, cells
 from catalog.base import query, rounded
 from tallyframe import Agg, Axis, Breakdown, Dashboard, Metric
 from tallyframe.functions.text import natural_key
-from tallyframe.operators.pivot import pivot, pivot_axis, row_totals
+from tallyframe.operators.pivot import long_cells, pivot, pivot_axis, row_totals
 from tallyframe.operators.views import chart_table, first_values, flatten_groups, group_rows, page, placed, row_order, sort_rows, top_series, treemap
 from tallyframe.session import shared_folder
 from tallyframe.sources.tables import save_dataset
@@ -83,6 +83,23 @@ def _(t):
     return rounded(pivot(c, "quantity"), 2, "F", "O", "total")
 
 
+@query("pivot_of_untrimmed_labels_o8", """
+SELECT l_returnflag AS label, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS "F", round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS "O",
+  round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1""")
+def _(t):
+    padded = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit(" "), "l_linestatus", F.lit("  "))).otherwise(F.col("l_linestatus"))
+    c = Breakdown(t.lineitem.withColumn("s", padded), [QUANTITY], "l_returnflag", Axis("s")).rows(ordered=False)
+    return rounded(pivot(c, "quantity"), 2, "F", "O", "total")
+
+
+@query("long_cells_o8", """
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS label, strftime(l_shipdate, '%Y-%m-%d') AS date_label, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)
+SELECT label, date_label, round(value, 2) AS value, round(sum(value) OVER (PARTITION BY label), 2) AS total, round(value / sum(value) OVER (PARTITION BY label), 8) AS share FROM c""")
+def _(t):
+    c = Breakdown(t.lineitem, [QUANTITY], "l_suppkey", Axis("l_shipdate", "date", "day")).rows(ordered=False)
+    return rounded(rounded(long_cells(c, "quantity"), 2, "value", "total"), 8, "share")
+
+
 @query("pivot_calculated_o8", """
 SELECT l_returnflag AS label, round(sum(l_extendedprice) FILTER (l_linestatus = 'F') / sum(l_quantity) FILTER (l_linestatus = 'F'), 6) AS "F",
   round(sum(l_extendedprice) FILTER (l_linestatus = 'O') / sum(l_quantity) FILTER (l_linestatus = 'O'), 6) AS "O",

@@ -37,6 +37,26 @@ def _(t):
     return back.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("csv_breaks_and_overlong_rows_s1", """
+SELECT CAST(o_orderkey AS VARCHAR) AS code, o_orderpriority || chr(10) || 'second "line"' AS note FROM orders WHERE o_orderkey % 5 <> 0""")
+def _(t):
+    folder = shared_folder(t.spark)
+    note = F.concat(F.lit('"'), "o_orderpriority", F.lit('\nsecond ""line"""'))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), note, F.when(F.col("o_orderkey") % 10 == 0, ",9").when(F.col("o_orderkey") % 5 == 0, ""))
+    t.orders.select(F.concat(F.lit("code,note\n"), line)).write.text(folder)
+    return S.read_csv(t.spark, folder, {"code": "categorical", "note": "categorical"}).where(F.col("code") != "code")
+
+
+@query("csv_rejects_s1", "SELECT count(*) FILTER (o_orderkey % 5 = 0) AS rejected FROM orders")
+def _(t):
+    folder = shared_folder(t.spark)
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, ",9").when(F.col("o_orderkey") % 5 == 0, ""))
+    t.orders.select(F.concat(F.lit("code,note\n"), line)).write.text(folder)
+    got = S.read_csv(t.spark, folder, {"code": "categorical", "note": "categorical"}, rejects=True)
+    header = F.regexp_extract("record", "^[0-9]+", 0) != ""
+    return got.where(header).agg(F.count(F.lit(1)).alias("rejected"))
+
+
 @query("append_parts_s3", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS o_totalprice,
   CASE WHEN o_orderstatus <> 'O' THEN o_orderpriority END AS o_orderpriority FROM orders""")
@@ -51,14 +71,16 @@ def _(t):
 
 
 @query("raw_matrix_s4", """
-SELECT c_name AS first, 'a "b", ' || c_mktsegment AS second, CAST(c_acctbal AS VARCHAR) AS third, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 4 END AS width FROM customer""")
+SELECT 'seg=' || c_mktsegment AS file, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS row_idx, c_name AS first,
+  'a "b", ' || c_mktsegment AS second, CAST(c_acctbal AS VARCHAR) AS third, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 4 END AS width FROM customer""")
 def _(t):
     folder = shared_folder(t.spark)
     quoted = F.concat(F.lit('"a ""b"", '), "c_mktsegment", F.lit('"'))
     extra = F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.lit(","))
-    t.customer.select(F.concat(F.concat_ws(",", "c_name", quoted, F.col("c_acctbal").cast("string")), extra)).write.text(folder)
+    lines = t.customer.select(F.col("c_mktsegment").alias("seg"), "c_custkey", F.concat(F.concat_ws(",", "c_name", quoted, F.col("c_acctbal").cast("string")), extra).alias("line"))
+    lines.repartition("seg").sortWithinPartitions("seg", "c_custkey").select("seg", "line").write.partitionBy("seg").text(folder)
     rows = M.read_matrix(t.spark, folder)
-    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))], F.size("cells").alias("width"))
+    return rows.select(F.regexp_extract("file_id", "/(seg=[^/]+)/", 1).alias("file"), "row_idx", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("first", "second", "third"))], F.size("cells").alias("width"))
 
 
 @query("save_and_reload_s5", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -218,6 +240,15 @@ def _(t):
     return rounded(rounded(stats, 4, "avg", "median"), 2, "sum")
 
 
+@query("statistics_of_unclean_numbers_s19", """
+SELECT 'v' AS "column", count(*) AS total_values, round(avg(o_totalprice) FILTER (o_orderkey % 5 > 0), 4) AS avg, round(min(o_totalprice) FILTER (o_orderkey % 5 > 0), 2) AS min,
+  round(max(o_totalprice) FILTER (o_orderkey % 5 > 0), 2) AS max, round(median(o_totalprice) FILTER (o_orderkey % 5 > 0), 4) AS median FROM orders""")
+def _(t):
+    v = F.when(F.col("o_orderkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    stats = P.column_statistics(t.orders.select(v.alias("v"))).select("column", "total_values", "avg", "min", "max", "median")
+    return rounded(rounded(stats, 4, "avg", "median"), 2, "min", "max")
+
+
 @query("dialect_sniff_s20", "SELECT ';' AS delimiter, chr(13) || chr(10) AS line_ending, count(DISTINCT n_nationkey % 3) AS files FROM nation")
 def _(t):
     folder = shared_folder(t.spark)

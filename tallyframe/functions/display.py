@@ -22,8 +22,10 @@ COLOR_HEX = {
 }
 # Suffixes of compact numbers, by power of a thousand.
 COMPACT_SUFFIXES = ("", "тыс.", "млн", "млрд", "трлн")
+# The heat map colour, the rounding nudge, and the least opacity and range of a heat cell.
 HEAT_RGB = (99, 102, 241)
 EPSILON = 2.220446049250313e-16
+HEAT_LEAST, HEAT_RANGE = 0.06, 0.64
 
 
 @dataclass(frozen=True)
@@ -138,7 +140,7 @@ def metric_id(*fields: Column | str) -> Column:
 def heat_alpha(c: Column, low: Column, high: Column) -> Column:
     """Opacity of a heat-map cell between the lowest and highest value."""
     share = F.when(high > low, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c - low) / (high - low)))).otherwise(0.0)
-    return F.when(c.isNotNull() & ~F.isnan(c) & low.isNotNull(), F.lit(0.06) + F.lit(0.64) * share)
+    return F.when(c.isNotNull() & ~F.isnan(c) & low.isNotNull(), F.lit(HEAT_LEAST) + F.lit(HEAT_RANGE) * share)
 
 
 def heat_color(alpha: Column) -> Column:

@@ -48,7 +48,7 @@ def bucket_label(df: DataFrame, column: str, buckets: int) -> Column:
     ends = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high")).alias("ends")).scalar()
     low, high = ends["low"], ends["high"]
     place = F.when(high > low, F.floor((v - low) / (high - low) * buckets)).when(v.isNotNull(), F.lit(0))
-    number = F.least(place, F.lit(buckets - 1)) + 1
+    number = F.when(place.isNotNull(), F.least(place, F.lit(buckets - 1)) + 1)  # least would pass over a null
     return F.lpad(number.cast("string"), len(str(buckets)), "0")
 
 

@@ -23,6 +23,7 @@ TOTAL_KEYWORDS = ("итого", "всего", "total")
 # Shapes of a plain number and of a code that only looks like one.
 PLAIN_NUMBER = r"^-?\d+(?:[.,]\d+)?$"
 CODE_LIKE = r"[:/]|^0\d"
+# Shares that make a column a metric and a header row a sparse one, and the name for no group.
 METRIC_SHARE = 0.6
 SPARSE_HEADER_SHARE = 0.6
 NO_GROUP = "(без группы)"
