@@ -32,7 +32,7 @@ from tallyframe.llm.common import stored
 
 SAMPLE = 20_000
 K_MOST = 256
-BLOCK = 256
+BLOCK = 512
 SHARE = 0.45
 
 
