@@ -61,9 +61,9 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyframe.llm.toxicity import fit, scored
+    from tallyframe.llm.toxicity import fit, held_out, scored
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     model = fit(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
     return docs.select("doc_id", "held_out", scored(F.col("text"), model).alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
