@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from catalog.base import joined, query, rounded
-from tallyframe import Agg, Breakdown, Calc, DisplayRule, GroupView, Layout, Metric, Path, import_report
+from tallyframe import Agg, Axis, Breakdown, Calc, DisplayRule, GroupView, Layout, Metric, Path, import_report
 from tallyframe.operators import report as R
 
 HEADER = ("region", "nation", "segment", "client", "balance", "customers")
@@ -297,6 +297,17 @@ def _(t):
     return rounded(view.rows(base, Path(("r_name", "n_name")), own_values(t)), 8, "balance")
 
 
+@query("view_two_axes_h19", """
+WITH c AS (SELECT CAST(l_suppkey AS VARCHAR) AS label, strftime(date_trunc('year', l_shipdate), '%Y') AS date_label, count(*) AS record_count, sum(l_quantity) AS quantity
+  FROM lineitem GROUP BY 1, 2)
+, kept AS (SELECT * FROM c WHERE label IN (SELECT label FROM c GROUP BY 1 HAVING sum(quantity) > 1000))
+SELECT label, date_label, record_count, round(quantity / sum(quantity) OVER (PARTITION BY date_label), 8) AS quantity FROM kept""")
+def _(t):
+    metrics = [Metric("quantity", Agg("l_quantity"), normalize_by="total")]
+    view = GroupView(metrics, [DisplayRule("quantity", ">", 1000)], "quantity", axis=Axis("l_shipdate", "date", "year"))
+    return rounded(view.rows(t.lineitem, Path(("l_suppkey",))), 8, "quantity")
+
+
 @query("report_import_h7_h12", ROLLED_SQL + """
 SELECT path, col AS "column", value FROM rolled
 UNION ALL SELECT 'leaves', 'balance', round(sum(c_acctbal), 2) FROM leaves""")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from tallyframe.functions.numeric import as_column
 from tallyframe.operators.breakdown import Axis, Breakdown
 from tallyframe.operators.filters import Path
 from tallyframe.operators.metrics import Metric
-from tallyframe.operators.normalize import normalize
+from tallyframe.operators.normalize import normalize, normalize_by_period
 from tallyframe.operators.report import overlay
-from tallyframe.operators.views import Calc, DisplayRule, display_filter, display_filter_2d, sort_rows
+from tallyframe.operators.views import Calc, DisplayRule, display_filter, display_filter_2d, row_order, sort_rows
 
 
 @dataclass(frozen=True)
@@ -41,13 +42,29 @@ class GroupView:
         b = self.breakdown(df, path)
         rows = b.rows(ordered=False)
         if "date_label" in b.keys:
+            if entered is not None:
+                raise ValueError("entered values belong to nodes and have no place on a second axis")
             rows = display_filter_2d(rows, self.rules, names, formats, self.calcs, path.depth)
-            return rows.orderBy("date_label", "label")
+            return self._two_axes(rows)
         if entered is not None:
             rows = overlay(rows, entered, [n for n in names if n in entered.columns], path.values)
         rows = display_filter(rows, self.rules, formats, path.depth)
         rows = normalize(rows, {m.id: m.normalize_by for m in self.metrics if m.normalize_by})
         return sort_rows(rows, self.sort_key, self.descending) if self.sort_key else rows
 
+    def _two_axes(self, rows: DataFrame) -> DataFrame:
+        """Shares of each period's own reference; labels by their total over the periods, or by name."""
+        shown = rows
+        for m in self.metrics:
+            if m.normalize_by:
+                shown = normalize_by_period(shown, m.id, m.normalize_by)
+        if not self.sort_key:
+            return shown.orderBy("date_label", "label")
+        if self.sort_key == "label":
+            return shown.orderBy(*row_order("label", self.descending), "date_label")
+        totals = rows.groupBy(F.col("label").alias("__of")).agg(F.sum(as_column(self.sort_key)).alias("__total"))
+        total = F.desc_nulls_last("__total") if self.descending else F.asc_nulls_first("__total")
+        return shown.join(totals, F.col("label") == F.col("__of")).orderBy(total, "label", "date_label").drop("__of", "__total")
+
     def total(self, df: DataFrame, path: Path) -> DataFrame:
         return self.breakdown(df, path).total()

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe import Calc, DisplayRule, Metric, Agg, GroupView, Path, Rule
+from tallyframe import Agg, Axis, Calc, DisplayRule, GroupView, Metric, Path, Rule
 from tallyframe.functions import display as D
 from tallyframe.operators import normalize as N, pivot as PV, series as S, views as V
 from tallyframe.operators.lookup import build_dictionary, resolve_names
@@ -173,3 +173,12 @@ def test_dictionary(frame):
     assert {r["code"]: r["name"] for r in entries.collect()} == {"01201802": "last", "абв": "text"}
     rows = frame([("1201802",), ("77",)], "label string")
     assert {r["label"]: r["name"] for r in resolve_names(rows, entries, mode="lpad8").collect()} == {"1201802": "last", "77": "77"}
+
+
+def test_two_axes_are_shared_by_period_and_sorted(frame):
+    df = frame([("a", "p1", 1.0), ("a", "p2", 9.0), ("b", "p1", 3.0), ("b", "p2", 1.0)], "lvl1 string, period string, v double")
+    view = GroupView([Metric("v", Agg("v"), normalize_by="total")], sort_key="v", axis=Axis("period"))
+    out = [(r["label"], r["date_label"], r["v"]) for r in view.rows(df, Path(("lvl1",))).collect()]
+    assert out == [("a", "p1", 0.25), ("a", "p2", 0.9), ("b", "p1", 0.75), ("b", "p2", pytest.approx(0.1))]
+    with pytest.raises(ValueError):
+        view.rows(df, Path(("lvl1",)), frame([(["a"], 1.0)], "path array<string>, v double"))
