@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyframe.llm.common import RecentDict, map_rows, stored, texts
 
+EDGES_A_TASK = 200_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -254,7 +255,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return counted.where(100 * F.col("both") >= join.threshold * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _stars(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every vertex is either the end of one edge or the centre of some."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("end"), F.lit(0).alias("centre"))
+    centres = edges.select(F.col("b").alias("v"), F.lit(0).alias("end"), F.lit(1).alias("centre"))
+    roles = ends.unionByName(centres).groupBy("v").agg(F.sum("end").alias("ends"), F.max("centre").alias("centre"))
+    return roles.where("ends > 1 OR ends + centre > 1").isEmpty()
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """(v, smallest vertex) of the components within each ``most`` edges."""
     parent: dict[bytes, bytes] = {}
 
@@ -277,7 +286,7 @@ def _stars(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[p
             if p != q:
                 parent[max(p, q)] = min(p, q)
         met += batch.num_rows
-        if met >= most:
+        if met >= (most or 2 * EDGES_A_TASK):
             yield from out()
             met = 0
     yield from out()
@@ -286,12 +295,12 @@ def _stars(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[p
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of (a, b): the smallest vertex of its component, by large-star and small-star steps.
 
-    Before the steps every task joins the edges it reads, in bounded chunks, to stars of their own; the steps then
-    have short ways to go.
+    Before the steps every task joins about ``EDGES_A_TASK`` edges to stars of their own, so few steps are left,
+    and none where one task holds all edges.
     """
-    edges = stored(stored(edges.select("a", "b")).mapInArrow(_stars, "a binary, b binary"))
-    state = None
-    while True:
+    edges = stored(edges.select("a", "b"))
+    edges = stored(edges.coalesce(-(-edges.count() // EDGES_A_TASK) or 1).mapInArrow(_stars, "a binary, b binary"))
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -299,10 +308,6 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         edges = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     return edges.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
 
 

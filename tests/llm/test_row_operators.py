@@ -242,7 +242,9 @@ def test_keep_one(docs):
     assert N.keep_one(docs([])).count() == 0
 
 
-def test_long_chains_are_one_component(spark):
+@pytest.mark.parametrize("edges_a_task", [200_000, 13])
+def test_long_chains_are_one_component(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(N, "EDGES_A_TASK", edges_a_task)
     order = list(range(300))
     random.Random(13).shuffle(order)
     name = lambda i: bytearray(f"{i:04d}".encode())
