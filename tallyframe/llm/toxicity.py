@@ -242,14 +242,20 @@ def _fit_weights(model: Model, x: np.ndarray, y: np.ndarray, n: np.ndarray, step
     """Penalised logistic regression by Newton steps; the kind weights are drawn to their starting values."""
     a = np.column_stack([np.ones(len(x)), x])
     centre, strength = np.r_[model.intercept, PRIOR], np.r_[0.01, np.full(x.shape[1], pull)]
+    def loss(beta: np.ndarray) -> float:
+        z = a @ beta
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (strength * (beta - centre) ** 2).sum())
+
     beta = centre.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         gradient = a.T @ (n * (p - y)) + strength * (beta - centre)
         hessian = (a * (n * p * (1 - p))[:, None]).T @ a + np.diag(strength)
-        step = np.linalg.solve(hessian, gradient)
-        beta = beta - step * min(1.0, 3 / max(np.abs(step).max(), 1e-9))
-        if np.abs(step).max() < 1e-6:
+        step, size, before = np.linalg.solve(hessian, gradient), 1.0, loss(beta)
+        while size > 1e-6 and loss(beta - size * step) > before:  # the loss is convex: a short enough step lowers it
+            size /= 2
+        beta = beta - size * step
+        if size * np.abs(step).max() < 1e-6:
             break
     model.intercept, model.kinds = float(beta[0]), np.maximum(beta[1:], 0.0)
 
