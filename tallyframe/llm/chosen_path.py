@@ -12,8 +12,10 @@ only passages that very many documents share can bring it, they miss it with abo
 Links come in two passes. The first takes from every node the strongest edges that hold its similar vertices
 together, a number linear in the node. When those are confirmed and joined into components, the second pass takes
 every similar pair that still lies across two components. So large groups of near copies cost no pairs within
-them, and no link between groups is lost. A node that ``depth`` branchings could not make small holds texts that agree
-on that many random tokens; it is cut into blocks that all share a set of pivots.
+them, and no link between groups is lost. The vertices of nodes that ``depth`` branchings could not make small are
+joined exactly: by the prefixes of their full sets, rare shingles first. Where more than ``leaf`` vertices share such a
+shingle, the first pass looks at blocks with common pivots, the second at every two blocks, spread over tasks, but for
+blocks of one component.
 
 Nothing of data size reaches the driver; components are found by alternating large-star and small-star steps.
 
@@ -37,6 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 from tallyframe.llm.common import RecentDict, map_rows, stored, texts
 
 EDGES_A_TASK = 200_000
+SAMPLE = 5_000  # sets that tell which shingles are common
+COMMON = 100_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -147,9 +151,9 @@ def _children(rows: DataFrame, join: Join, root: bool) -> DataFrame:
     return rows.mapInArrow(step, "set_id binary, node long")
 
 
-def leaves(vertices: DataFrame, join: Join) -> DataFrame:
-    """(set_id, node) of all nodes that are compared: two vertices or more, ``leaf`` at most."""
-    level, found = _children(vertices.select("set_id", "path"), join, root=True), []
+def leaves(vertices: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
+    """(set_id, node) of all nodes of two vertices or more, ``leaf`` at most; the set_id of what other nodes hold, if any."""
+    level, found, over = _children(vertices.select("set_id", "path"), join, root=True), [], None
     for depth in range(join.depth + 1):
         sizes = level.groupBy("node").count().where("count > 1")
         level = stored(level.join(sizes, "node"))
@@ -158,16 +162,75 @@ def leaves(vertices: DataFrame, join: Join) -> DataFrame:
         if hot.isEmpty():
             break
         if depth == join.depth:
-            blocks = F.ceil(F.col("count") / (join.leaf // 2)).cast("long")
-            draw = F.xxhash64("set_id", "node")
-            block = F.when(F.pmod(draw, F.col("count")) < join.pivots, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "set_id"), blocks)))
-            found.append(hot.select("set_id", "node", F.explode(block).alias("block")).select("set_id", F.xxhash64("node", "block", F.lit("block")).alias("node")))
+            over = hot.select("set_id")
         else:
             level = _children(hot.join(vertices.select("set_id", "path"), "set_id").select("set_id", "path", "node"), join, root=False).distinct()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return stored(out)
+    return stored(out), None if over is None else stored(over.distinct())
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a sample of the sets has often, sorted, and how often; fewer than ``COMMON``."""
+    part = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(-(-sets.count() // SAMPLE) or 1)) == 0)
+    total = part.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    counts = part.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") > max(3, total // COMMON)).toArrow()
+    found, count = counts.column("s").to_numpy(), counts.column("count").to_numpy()
+    order = np.argsort(found)
+    return found[order], count[order]
+
+
+def prefix_nodes(sets: DataFrame, join: Join) -> DataFrame:
+    """(set_id, node, count) such that any two sets (set_id, shingles) that reach the threshold share a node.
+
+    All sets are put in one order, what is common last; sets that overlap enough share one of their first
+    ``n - ceil(threshold * n) + 1`` shingles. Any order will do, so the sample that it comes from loses nothing.
+    Shingles with the same vertices are one node.
+    """
+    common, often = _common(sets)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in zip(b.column("set_id").to_pylist(), b.column("shingles")):
+                s = s.values.to_numpy()
+                count = np.zeros(len(s), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    count = np.where(common[at] == s, often[at], 0)
+                first = s[np.lexsort((s, count))][: len(s) - -(-join.threshold * len(s) // 100) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(first), pa.binary()), pa.array(first)], names=["set_id", "shingle"])
+
+    rows = sets.select("set_id", "shingles").mapInArrow(step, "set_id binary, shingle long")
+    groups = rows.groupBy("shingle").agg(F.count("*").alias("count"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("count > 1")
+    return stored(rows.join(groups, "shingle").select("set_id", F.xxhash64("mark", "count", F.lit("prefix")).alias("node"), "count").distinct())
+
+
+def _blocks(hot: DataFrame, join: Join) -> DataFrame:
+    """(set_id, node) of random blocks that share pivots, from nodes (set_id, node, count) of more than ``leaf``: for the
+    first pass, where what is missed between blocks costs no link."""
+    blocks = F.ceil(F.col("count") / (join.leaf // 2)).cast("long")
+    draw = F.xxhash64("set_id", "node")
+    block = F.when(F.pmod(draw, F.col("count")) < join.pivots, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "set_id"), blocks)))
+    return hot.select("set_id", "node", F.explode(block).alias("block")).select("set_id", F.xxhash64("node", "block", F.lit("block")).alias("node"))
+
+
+def _block_pairs(hot: DataFrame, placed: DataFrame, join: Join) -> DataFrame:
+    """(set_id, node, root): every two blocks of a node of more than ``leaf`` as a node of their own, but those of one
+    component. A root of more than half a leaf has blocks of its own, the others share some."""
+    half = join.leaf // 2
+    at = stored(hot.join(placed, "set_id", "left").select("set_id", "node", F.coalesce("root", "set_id").alias("root")))
+    sizes = at.groupBy("node", "root").agg(F.count("*").alias("of_root"))
+    rest = sizes.where(F.col("of_root") <= half).groupBy("node").agg(F.sum("of_root").alias("of_rest"))
+    own = F.when(F.col("of_root") > half, F.col("root"))
+    number = F.ceil(F.when(own.isNotNull(), F.col("of_root")).otherwise(F.col("of_rest")) / half).cast("long")
+    block = F.xxhash64("node", F.coalesce(own, F.lit(b"")), F.pmod(F.xxhash64("node", "set_id"), number))
+    members = stored(at.join(sizes, ["node", "root"]).join(rest, "node", "left").select("set_id", "node", "root", own.alias("own"), block.alias("block")))
+    one = members.select("node", "own", "block").distinct()
+    two = one.select("node", F.col("own").alias("own_b"), F.col("block").alias("block_b"))
+    pairs = one.join(two, "node").where(F.col("block") <= F.col("block_b")).where(F.coalesce(F.col("own") != F.col("own_b"), F.lit(True)))
+    pairs = pairs.select(F.xxhash64("node", "block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    return members.select("set_id", "root", "block").join(pairs, "block").select("set_id", F.col("pair").alias("node"), "root")
 
 
 def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
@@ -318,14 +381,28 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         own.where("set_id IS NOT NULL AND id IS NOT NULL").groupBy("set_id")
         .agg(F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("path").alias("path"), F.any_value("signature").alias("signature"))
     )
-    met = leaves(vertices, join)
+    met, over = leaves(vertices, join)
+    first_ids = vertices.select("set_id", "first_id")
+    hot = sets = None
+    if over is not None:
+        sets = stored(_full_sets(docs, over.join(first_ids, "set_id"), join, id_col, text_col))
+        exact = prefix_nodes(sets, join)
+        met = met.unionByName(exact.where(F.col("count") <= join.leaf).select("set_id", "node"))
+        hot = exact.where(F.col("count") > join.leaf)
+        hot = None if hot.isEmpty() else hot
     traits = vertices.select("set_id", "n_shingles", "signature")
-    spanning = stored(similar_pairs(met.join(traits, "set_id"), join, across=False))
+    near = met if hot is None else met.unionByName(_blocks(hot, join))
+    spanning = stored(similar_pairs(near.join(traits, "set_id"), join, across=False))
     touched = stored(spanning.select(F.col("a").alias("set_id")).unionByName(spanning.select(F.col("b").alias("set_id"))).distinct())
-    sets = stored(_full_sets(docs, touched.join(vertices.select("set_id", "first_id"), "set_id"), join, id_col, text_col))
+    unread = touched if over is None else touched.join(over, "set_id", "left_anti")
+    read = stored(_full_sets(docs, unread.join(first_ids, "set_id"), join, id_col, text_col))
+    sets = read if sets is None else sets.unionByName(read)
     roots = components(confirmed(spanning, sets, join))
     placed = touched.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
-    apart = similar_pairs(met.join(traits, "set_id").join(placed, "set_id"), join, across=True)
+    apart = met.join(placed, "set_id")
+    if hot is not None:  # a vertex may have met none of its like in its block
+        apart = apart.unionByName(_block_pairs(hot, placed, join))
+    apart = similar_pairs(apart.join(traits, "set_id"), join, across=True)
     more = confirmed(apart.join(spanning, ["a", "b"], "left_anti"), sets, join)
     final = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     first = vertices.join(final, F.col("set_id") == F.col("v"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))

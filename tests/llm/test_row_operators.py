@@ -235,6 +235,28 @@ def test_components_equal_brute_force(docs, join):
     assert not wrong if join == N.Join() else len(wrong) <= 5, wrong
 
 
+def hot_rows(seed, n, shared):
+    """Texts with a passage of ``shared`` of 150 words; every third has a heavy copy, of 0.75 to 0.8 with it alone."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage, rows = [word() for _ in range(shared)], []
+    for i in range(n):
+        w = [*passage, *[word() for _ in range(150 - shared)]]
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            at = rng.randrange(shared + 1, 130)
+            rows.append((5000 + i, " ".join([*w[:at], *[word() for _ in range(13)], *w[at + 13 :]])))
+    return rows
+
+
+@pytest.mark.parametrize("join", [N.Join(leaf=30, depth=1, pivots=3), N.Join(leaf=16, depth=0, pivots=2)])
+def test_hot_nodes_lose_no_link(docs, join):
+    rows = [*hot_rows(14, 240, 90), *[(10_000 + i, t) for i, t in hot_rows(15, 120, 123)]]
+    expected = classes(rows)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs(rows), join).collect()}
+    assert sum(c != i for i, (_, c) in expected.items()) >= 100 and got == expected
+
+
 def test_keep_one(docs):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "A b c d e f g"), (7, None), (8, ""), (None, "x y"), (9, "other words stand in here now")]
     left = N.keep_one(docs(rows))
