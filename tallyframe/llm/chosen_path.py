@@ -1,21 +1,19 @@
 """MinHash near-duplicates: a chosen-path set-similarity join.
 
-A document is its set of word shingles. Documents with equal sets are one vertex. Every vertex walks down
-``trees`` independent random trees: at a node a minwise token of the set is selected and the vertex goes to the
-child of that token's value; below the root one node in three selects a second token, so a vertex takes several
-paths, 4 / 3 for the share of 3 / 4 that a pair at the threshold has in common. Only nodes of more than ``leaf``
-vertices are branched again, two levels at a time. A node that is small is compared exhaustively by signatures, and
-what looks similar is confirmed on the full sets. A pair at the threshold shares a root child with probability
-``threshold`` in each tree, so 12 trees miss it with 0.25 ** 12; within nodes of more than ``leaf`` vertices, where
-only passages that very many documents share can bring it, they miss it with about 0.5 ** 12 a branching.
+A document is its set of word shingles. Documents with equal sets are one vertex. In each of ``trees`` independent
+random trees a minwise token of the set is selected and the vertex goes to the child of that token's value. A child
+that is small is compared exhaustively by signatures, and what looks similar is confirmed on the full sets. A pair at
+the threshold shares a child with probability ``threshold`` in each tree, so 12 trees miss it with 0.25 ** 12. The
+vertices of children of more than ``leaf``, where only passages that very many documents share can bring them, are not
+branched at random again, which would lose pairs, but joined exactly: their paths are the prefixes of their full sets,
+rare shingles first, one of which any pair at the threshold shares.
 
 Links come in two passes. The first takes from every node the strongest edges that hold its similar vertices
 together, a number linear in the node. When those are confirmed and joined into components, the second pass takes
 every similar pair that still lies across two components. So large groups of near copies cost no pairs within
-them, and no link between groups is lost. The vertices of nodes that ``depth`` branchings could not make small are
-joined exactly: by the prefixes of their full sets, rare shingles first. Where more than ``leaf`` vertices share such a
-shingle, the first pass looks at blocks with common pivots, the second at every two blocks, spread over tasks, but for
-blocks of one component.
+them, and no link between groups is lost. Where more than ``leaf`` vertices share a shingle of their prefixes, the
+first pass looks at blocks with common pivots, the second at every two blocks, spread over tasks, but for blocks of one
+component.
 
 Nothing of data size reaches the driver; components are found by alternating large-star and small-star steps.
 
@@ -50,17 +48,16 @@ class Join:
     words: int = 5
     threshold: int = 75  # per cent of the union
     trees: int = 12
-    deeper: int = 12  # tokens that nodes below the root select from
     signature: int = 192
     similar: float = 0.64  # 3.5 standard errors of the signature below the threshold
     leaf: int = 2500
-    depth: int = 3  # branchings, of two levels each
+    depth: int = 3  # without effect: hot nodes are joined exactly, not branched
     pivots: int = 32
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rng = np.random.Generator(np.random.PCG64(75))
         odd = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return odd(self.words), odd(self.trees + self.deeper), odd(self.signature).astype(np.uint32)
+        return odd(self.words), odd(self.trees), odd(self.signature).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -122,53 +119,27 @@ def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataF
     return map_rows(texts(docs, id_col, text_col), f"id {kind}, n_shingles long, set_id binary, path binary, signature binary", rows)
 
 
-def _children(rows: DataFrame, join: Join, root: bool) -> DataFrame:
-    """(set_id, node) of the children that a vertex goes to, from (set_id, path) at the root or (set_id, path, node)."""
-    trees, deeper = join.trees, join.deeper
+def _children(vertices: DataFrame, join: Join) -> DataFrame:
+    """(set_id, node) of the child that a vertex (set_id, path) goes to in every tree."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint64).reshape(b.num_rows, trees + deeper)
-            every = np.arange(b.num_rows)
-            if root:
-                nodes = [_mix(path[:, t] + np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64)) for t in range(trees)]
-            else:
-                node = b.column("node").to_numpy().view(np.uint64)
-                pick = _mix(node + np.uint64(1))
-                # four different tokens of the node: two levels down, on each a second child for one node in three
-                token = [trees + ((pick + np.uint64(3 * i)) % np.uint64(deeper)).astype(np.int64) for i in range(4)]
-                child = lambda n, i: _mix(path[every, token[i]] ^ _mix(n + np.uint64(i)))
-                first = child(node, 0)
-                more = [(pick >> np.uint64(s)) % np.uint64(3) == 0 for s in (20, 40)]
-                nodes = [child(first, 1), np.where(more[0], child(child(node, 2), 1), np.uint64(0)), np.where(more[1], child(first, 3), np.uint64(0))]
-            ids = b.column("set_id")
-            for n in nodes:
-                out = pa.RecordBatch.from_arrays([ids, pa.array(n.view(np.int64))], names=["set_id", "node"])
-                yield out if root else out.filter(pa.array(n != 0))
-
-    return rows.mapInArrow(step, "set_id binary, node long")
+            path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint64).reshape(b.num_rows, join.trees)
+            for t in range(join.trees):
+                n = _mix(path[:, t] + np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64))
+                yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(n.view(np.int64))], names=["set_id", "node"])
+
+    return vertices.select("set_id", "path").mapInArrow(step, "set_id binary, node long")
 
 
 def leaves(vertices: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
-    """(set_id, node) of all nodes of two vertices or more, ``leaf`` at most; the set_id of what other nodes hold, if any."""
-    level, found, over = _children(vertices.select("set_id", "path"), join, root=True), [], None
-    for depth in range(join.depth + 1):
-        sizes = level.groupBy("node").count().where("count > 1")
-        level = stored(level.join(sizes, "node"))
-        found.append(level.where(F.col("count") <= join.leaf).select("set_id", "node"))
-        hot = level.where(F.col("count") > join.leaf)
-        if hot.isEmpty():
-            break
-        if depth == join.depth:
-            over = hot.select("set_id")
-        else:
-            level = _children(hot.join(vertices.select("set_id", "path"), "set_id").select("set_id", "path", "node"), join, root=False).distinct()
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return stored(out), None if over is None else stored(over.distinct())
+    """(set_id, node) of all nodes of two vertices or more, ``leaf`` at most; the set_id of what larger nodes hold, if any."""
+    level = _children(vertices, join)
+    met = stored(level.join(level.groupBy("node").count().where("count > 1"), "node"))
+    hot = met.where(F.col("count") > join.leaf)
+    return met.where(F.col("count") <= join.leaf).select("set_id", "node"), None if hot.isEmpty() else stored(hot.select("set_id").distinct())
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:

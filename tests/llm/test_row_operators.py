@@ -257,6 +257,15 @@ def test_hot_nodes_lose_no_link(docs, join):
     assert sum(c != i for i, (_, c) in expected.items()) >= 100 and got == expected
 
 
+def test_recall_in_hot_nodes_is_that_of_cold_ones(docs):
+    """300 pairs of 0.75 to 0.8 whose texts have most of a passage in common with all others, at 0.7."""
+    rows = [r for r in hot_rows(16, 900, 123) if r[0] % 3 == 0 or r[0] >= 5000]
+    expected = {i: c for i, (_, c) in classes(rows).items()}
+    got = {r["id"]: r["component_id"] for r in N.near_duplicates(docs(rows), N.Join(leaf=40)).collect()}
+    lost = [i for i in expected if got[i] != expected[i]]
+    assert len(set(expected.values())) == 300 and not lost, len(lost)
+
+
 def test_keep_one(docs):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "A b c d e f g"), (7, None), (8, ""), (None, "x y"), (9, "other words stand in here now")]
     left = N.keep_one(docs(rows))
