@@ -2,10 +2,11 @@
 
 A page is read into blocks of text, each with its root-to-leaf tag path. Text length and punctuation are added up
 per path and divided by the blocks that share it; the two series are smoothed along the page, fused by their
-product and cut at a threshold, which selects the content blocks. The article is the deepest element that holds
-most of their weight, widened to the ``article`` or ``main`` around it; everything in it counts but elements that
-are never main text (menus, page headers, footers, asides, forms, scripts, notices, adverts, reader comments), by
-their tag, role or name.
+product and cut at a threshold, which selects the content blocks. The article is the ``article`` or ``main`` around
+most of their weight, or else the element around all of them but those of a low fused ratio; everything in it counts
+but elements that are never main text (menus, page headers, footers, asides, forms, scripts, notices, adverts, reader
+comments), by their tag, role or name. The name of an element that holds most of the prose says nothing, unless it
+names reader comments.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; markup that is cut off or not
 closed is read as far as it goes; pages are read whole, in time proportional to their length; repeated rows are
@@ -19,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import median
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -56,7 +58,7 @@ class Node:
     parent: Node | None
     path: int  # number of its tag path
     never: bool  # by tag or role
-    named: bool  # by the name of a class or id
+    named: int  # by the name of a class or id; 2 whatever it holds
     depth: int
 
 
@@ -72,7 +74,9 @@ class Settings:
     sigma: float = 1.0
     reach: int = 2
     cut: float = 0.8  # of the standard deviation of the fused ratios
-    most: float = 0.8  # of the content's weight that the article has to hold
+    most: float = 0.8  # of the content's weight that shows where the article is
+    low: float = 0.25  # of the median fused ratio there; what has less outside is an outlier
+    prose: int = 70  # characters, with punctuation, of a block that shows that a name is wrong
     names: frozenset = field(default_factory=lambda: NAMES)
 
 
@@ -97,7 +101,7 @@ def _marks(attributes: str) -> tuple[str, set[str], bool]:
 
 def blocks(page: str, settings: Settings) -> list[Block]:
     """The blocks of a page in order, without elements that are never main text."""
-    root = node = Node("", None, 0, False, False, 0)
+    root = node = Node("", None, 0, False, 0, 0)
     paths: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     pieces: list[str] = []
@@ -169,7 +173,7 @@ def blocks(page: str, settings: Settings) -> list[Block]:
             inside = inside.parent
         never = node.never or tag in NEVER or role in ROLES or hidden or (tag == "header" and inside.tag not in ARTICLES)
         names = COMMENTS if tag in ("article", "main", "body", "html") else settings.names - {"header"} if inside.tag in ARTICLES else settings.names
-        named = node.named or bool(parts & names)
+        named = 2 if parts & COMMENTS and tag not in ("article", "main", "body", "html") else int(bool(parts & names))
         key = (node.path, tag)
         node = Node(tag, node, paths.setdefault(key, len(paths) + 1), never, named, node.depth + 1)
         if attributes.endswith("/") and tag not in BLOCKS:
@@ -207,9 +211,35 @@ def _smooth(values: list[float], kernel: list[float]) -> list[float]:
     return out
 
 
+def _unnamed(every: list[Block], settings: Settings) -> list[Block]:
+    """The blocks in no element whose name says that it is not main text."""
+    prose = [b for b in every if len(b.text) >= settings.prose and _PUNCTUATION.search(b.text)]
+    held: dict[int, int] = {}
+    count: dict[int, int] = {}
+    for b in prose:
+        n: Node | None = b.node
+        while n is not None:
+            held[id(n)] = held.get(id(n), 0) + len(b.text)
+            count[id(n)] = count.get(id(n), 0) + 1
+            n = n.parent
+    total = sum(len(b.text) for b in prose)
+    marked: dict[int, bool] = {}
+
+    def is_marked(node: Node) -> bool:
+        way, n = [], node
+        while n is not None and id(n) not in marked:
+            way.append(n)
+            n = n.parent
+        above = n is not None and marked[id(n)]
+        for n in reversed(way):
+            above = marked[id(n)] = above or n.named == 2 or n.named == 1 and not (count.get(id(n), 0) > 1 and 2 * held[id(n)] > total)
+        return above
+
+    return [b for b in every if not is_marked(b.node)]
+
+
 def main_text(page: str | None, settings: Settings = Settings()) -> str:
-    every = blocks(page or "", settings)
-    found = [b for b in every if not b.node.named] or every
+    found = _unnamed(blocks(page or "", settings), settings)
     if not found:
         return ""
     fused = ratios(found, settings)
@@ -234,6 +264,11 @@ def main_text(page: str | None, settings: Settings = Settings()) -> str:
             break
         n = n.parent
     else:
+        least = settings.low * median(f for b, f in zip(found, fused) if f >= cut and _within(b.node, article))
+        for b, f in zip(found, fused):
+            if f >= max(cut, least) or b.node.tag == "h1":
+                while not _within(b.node, article):
+                    article = article.parent
         while article.parent is not None and article.tag in BLOCKS - {"div", "section", "body", "td", "html"} or article.tag not in BLOCKS and article.parent is not None:
             article = article.parent
     return "\n".join(b.text for b in found if _within(b.node, article))

@@ -70,6 +70,20 @@ def test_main_text(start, end):
     assert H.main_text(PAGE.format(open=start, close=end)) == TEXT
 
 
+SENTENCE = "Words of the text, which go on for a while, and more of them; so it reads, in the end, like prose."
+
+
+def test_pages_without_article_are_whole():
+    p, rest = f"<p>{SENTENCE}</p>", '<div class="footer">Copyright, all rights.</div>'
+    lead = f"<body><nav>menu</nav><div id=post><h1>Title</h1>{p}<div class=body>{p * 12}</div>{p}</div>{rest}"
+    assert H.main_text(lead) == "\n".join(["Title", *[SENTENCE] * 14])
+    assert H.main_text(f"<body><div><div>{p * 17}</div><div>{p * 3}</div></div>{rest}") == "\n".join([SENTENCE] * 20)
+    wrapped = f"<div class='layout has-sidebar'><div>{p * 8}</div><div class=sidebar><p>{SENTENCE}</p></div></div><div>Read on</div>"
+    assert H.main_text(f"<body>{wrapped}{rest}") == "\n".join([SENTENCE] * 8)
+    assert H.main_text(f"<body><div>{p * 2}</div><div class=comments>{p * 9}</div>{rest}") == "\n".join([SENTENCE] * 2)
+    assert H.main_text(f"<body><div class=sidebar><a>One</a><a>Two</a></div><div class=cookie-notice>{p}</div>{rest}") == ""
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "plain, text", "x"), (3, "u", "plain, text", "x"), (None, "u", "<p>a<p>b", "x"), (5, "u", "<div>" * 3000 + "deep.", "x"),
             (6, "u", '<p class="a' + "<b>" * 2000, "x"), (7, "u", "<nav>only</nav>", "x"), (8, "u", "<article><p>" + "word, " * 100_000, "x")]
