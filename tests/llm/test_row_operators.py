@@ -306,3 +306,19 @@ def test_pipeline(spark):
     assert set(pieces.doc_id) == set(texts)
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "near duplicates", "secret scans", "packing"]
+
+
+def test_pipeline_stages_by_doc_id(spark):
+    """What the near-duplicate and secret stages do to each document, beside brute force; one stage's rows are the next one's."""
+    import corpus_pipeline
+
+    folder, stages = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").cache()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = stages["near duplicates"](spark, docs, folder).cache()
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, (_, c) in classes(rows).items() if c in (i, None))
+    before = {r["doc_id"]: r["text"] for r in kept.collect()}
+    after = {r["doc_id"]: r["text"] for r in stages["secret scans"](spark, kept, folder).collect()}
+    assert after.keys() == before.keys() and all("[SECRET]" in after[i] and not base_spans(after[i]) for i in before if base_spans(before[i]))
+    for i, text in before.items():  # what is not masked stays as it was
+        assert re.fullmatch(".+".join(re.escape(x) for x in (after[i] or "").split("[SECRET]")), text or "", re.S), i
