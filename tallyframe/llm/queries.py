@@ -142,3 +142,18 @@ def op8_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyframe.llm.multi_index import search
 
     return search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
+@query
+def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.cuckoo import dedup
+
+    found = dedup(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+SQL["op11_cuckoo_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
