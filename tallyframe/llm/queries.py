@@ -157,3 +157,93 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op12_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.bag_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SQL["op12_bag_search"] = f"""
+WITH words AS (
+  SELECT d, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS d, * FROM documents)
+), item_terms AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
+), lengths AS (
+  SELECT d, doc_id, count(*) AS n FROM words GROUP BY ALL
+), totals AS (
+  SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS length FROM lengths
+), counted AS (
+  SELECT d, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, documents
+), scored AS (
+  SELECT item_id, doc_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * documents) // length)))) AS BIGINT) AS score
+  FROM counted JOIN lengths USING (d) JOIN weighted USING (term) JOIN item_terms USING (term), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20
+"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.merkle import audit
+
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return audit(docs, tampered).withColumnRenamed("id", "doc_id")
+
+
+def _merkle_sql(source_levels: int = 6, top_levels: int = 3) -> str:
+    """Each level spelled out: enough for 16 ** 6 rows a source and 16 ** 3 sources."""
+
+    def levels(name: str, count: int) -> list[str]:
+        out = []
+        for j in range(count):
+            run = "PARTITION BY g, rank // 16 ORDER BY rank ROWS BETWEEN"
+            out.append(f"""{name}_runs{j} AS (SELECT g, rank, n,
+    coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{j})""")
+            out.append(f"""{name}{j + 1} AS (SELECT g, rank // 16 AS rank, any_value(n + 15) // 16 AS n,
+    CASE WHEN any_value(n) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY rank)) END AS digest FROM {name}{j} GROUP BY g, rank // 16)""")
+        return out
+
+    def climbed(name: str, count: int, start: str, at: str) -> list[str]:
+        return [
+            f"""{name}_fold{j + 1} AS (SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || f.fold || s.r) ELSE f.fold END AS fold, f.proof || s.l || s.r AS proof)
+  FROM {start if j == 0 else f"{name}_fold{j}"} f JOIN {name}_runs{j} s ON s.g = f.{at}g AND s.rank = f.{at}rank // {16**j})"""
+            for j in range(count)
+        ]
+
+    import zlib
+
+    steps = [zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)]  # the step of the checksum for each byte
+    bytes_of = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))"
+    crc = f"xor(list_reduce(list_concat([4294967295], {bytes_of}), lambda c, b: xor(c // 256, ({steps})[xor(c & 255, b) + 1])), 4294967295)"
+    framed = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars")))
+    parts = [
+        f"""leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({head} || {framed("text")}) AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {framed(lower)}) ELSE sha256({head} || {framed("text")}) END AS found FROM documents)""",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY g) AS n FROM leaves)",
+        "a0 AS (SELECT g, rank, n, leaf AS digest FROM ranked)",
+        *levels("a", source_levels),
+        f"subroots AS (SELECT g, digest, row_number() OVER (ORDER BY g) - 1 AS place FROM a{source_levels})",
+        "b0 AS (SELECT '' AS g, place AS rank, count(*) OVER () AS n, digest FROM subroots)",
+        *levels("b", top_levels),
+        "started AS (SELECT r.*, s.place AS toprank, '' AS topg, s.digest AS subroot, r.found AS fold, '' AS proof FROM ranked r JOIN subroots s USING (g))",
+        *climbed("a", source_levels, "started", ""),
+        *climbed("b", top_levels, f"a_fold{source_levels}", "top"),
+    ]
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t.digest AS verified
+FROM b_fold{top_levels} JOIN b{top_levels} t ON true"""
+
+
+SQL["op13_merkle_manifest"] = _merkle_sql()
