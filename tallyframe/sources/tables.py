@@ -12,6 +12,7 @@ from tallyframe.functions.text import SPACE, clean_cells, trim_all
 from tallyframe.operators.filters import CLASSIFICATION
 from tallyframe.operators.report import ReportColumn
 from tallyframe.sources.matrix import split_cells
+from tallyframe.sources.records import records
 
 # Rows of a preview and of one exported piece, where the caller names no number.
 PREVIEW_ROWS = 500
@@ -37,7 +38,7 @@ def read_csv(
     sep: str = ",",
     decimal: str = ".",
     date_format: str | None = None,
-    quoted_breaks: bool = True,
+    quoted_breaks: bool | None = None,
     rejects: bool = False,
 ) -> DataFrame:
     """Delimited text with a header, each column typed by its classification.
@@ -45,17 +46,23 @@ def read_csv(
     ``columns`` maps the names in file order to ``numeric``, ``categorical``, ``date`` or
     ``ignore``; codes in categorical columns keep their leading zeros. Short rows are padded
     with nulls. Rows with too many cells are left out; with ``rejects`` they are what is
-    given, as ``record``. ``date_format`` is a Spark pattern. Quoted cells may hold line breaks; such files are
-    read by one task each, so say ``quoted_breaks=False`` of large files that are known to have none.
+    given, as ``record``. ``date_format`` is a Spark pattern. Quoted cells may hold line breaks, which a first
+    pass over the files looks for (see ``sources.records``); ``quoted_breaks=False`` says that there are none and
+    saves it. Files are read in splits either way. Records of white space alone are no rows.
     """
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*columns, RECORD]])
-    raw = spark.read.csv(path, schema=schema, sep=sep, quote='"', escape='"', header=True, mode="PERMISSIVE",
-                         columnNameOfCorruptRecord=RECORD, multiLine=quoted_breaks)
-    # Spark keeps the record of a row whose number of cells is not the header's
-    overlong = F.coalesce(F.size(split_cells(F.rtrim(F.col(RECORD), F.lit("\r\n")), sep)) > len(columns), F.lit(False))
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": RECORD, "columnPruning": "false"}
+    several = records(spark, path, sep) if quoted_breaks is not False else None
+    if several is None:
+        raw = spark.read.schema(schema).options(header=True, **options).csv(path)
+    else:
+        cells = several.where("NOT head").select(F.from_csv("value", F.lit(schema.toDDL()), options).alias("cells"))
+        raw = cells.select(*[F.col("cells")[n].alias(n) for n in schema.names])
+    # Spark keeps the record of a row whose number of cells is not the header's, and wants another column read with it
+    beside = F.coalesce(as_column(next(iter(columns))), F.lit("")) >= ""
+    overlong = F.coalesce(F.size(split_cells(F.rtrim(F.col(RECORD), F.lit("\r\n")), sep)) > len(columns), F.lit(False)) & beside
     if rejects:
-        beside = F.left(F.coalesce(as_column(next(iter(columns))), F.lit("")), F.lit(0))  # Spark wants another column read with it
-        return raw.where(overlong).select(F.concat(F.col(RECORD), beside).alias("record"))
+        return raw.where(overlong).select(F.col(RECORD).alias("record"))
     rows = raw.where(~overlong)
     return rows.select(
         *[
