@@ -189,7 +189,7 @@ class Best:
 
 
 def _ranked_block(docs: DataFrame, pairs: list, k: int) -> DataFrame | None:
-    """item (its place in the block), id and score of the best k of each task for the items of one block."""
+    """item, rank, id and score of the best k documents for the items of one block."""
     vocabulary = {t: i for i, t in enumerate(sorted({p["term"] for p in pairs}))}
     places = {item: i for i, item in enumerate(sorted({p["item"] for p in pairs}))}
     vectors = stored(frequencies(docs, vocabulary))
@@ -217,8 +217,10 @@ def _ranked_block(docs: DataFrame, pairs: list, k: int) -> DataFrame | None:
         yield from best.rows()
 
     found = map_rows(classes(vectors, documents, length, k), f"place long, id {kind}, score long", score)
+    order = Window.partitionBy("place").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     names = docs.sparkSession.createDataFrame([(i, item) for item, i in places.items()], "place long, item long")
-    return found.join(F.broadcast(names), "place").drop("place")  # as many rows as the block has items
+    return ranked.join(F.broadcast(names), "place").drop("place")  # as many rows as the block has items
 
 
 def search(
@@ -233,10 +235,8 @@ def search(
     for b in range(blocks):
         pairs = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).select("item", "term", "times").collect()
         ranked = _ranked_block(rows, pairs, k) if pairs else None
-        if ranked is None:
-            continue
-        order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
-        found.append(ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        if ranked is not None:
+            found.append(ranked)
     kinds = rows.schema["id"].dataType.simpleString(), wanted.schema["item_id"].dataType.simpleString()
     if not found:
         return spark.createDataFrame([], f"item_id {kinds[1]}, rank int, id {kinds[0]}, score long")
