@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallyframe.functions.numeric import as_column, finite, num
 from tallyframe.functions.text import DAY_FIRST_DATE_START, ISO_DATE_START, NUMBER, SPACE, TIME_ONLY, trim_all
-from tallyframe.operators.percentile import exact_percentiles
+from tallyframe.operators import percentile
 
 SAMPLES = 5
 # Date patterns that a majority of day-first dates calls for.
@@ -84,55 +84,66 @@ def detect_date_format(df: DataFrame, date_columns: Sequence[str]) -> DataFrame:
     return table.agg(chosen.alias("date_format"))
 
 
+def _cell(f: T.StructField, number: int) -> Column:
+    """A cell as a row of its column's number and its value under the narrowest type that keeps values apart."""
+    c, kind = as_column(f.name), f.dataType
+    whole, fractional = isinstance(kind, T.IntegralType), isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType)
+    return F.struct(
+        F.lit(number).alias("i"),
+        (F.lit(None) if whole or fractional else c).cast("string").alias("text"),
+        (c if whole else F.lit(None)).cast("long").alias("whole"),
+        (c if fractional else F.lit(None)).cast("double").alias("fraction"),
+    )
+
+
 def column_statistics(df: DataFrame) -> DataFrame:
     """One row per column: counts by kind of cell, distinct values, five samples and number statistics.
 
-    Columns are turned to rows and reduced to distinct values with their counts, so that
-    neither the distinct count nor the median keeps a column in one place.
+    One wide aggregation gives all counts, extremes, sums and the bracket of each median. For the rest, columns are
+    turned to rows of their typed values and reduced to distinct values with their counts, combined before the
+    shuffle; unique counts, samples and medians come from that one shuffle, so the table is read twice and no value
+    is turned to text before it is one of the distinct ones.
     """
-    cells = []
-    for f in df.schema.fields:
-        c = as_column(f.name)
-        is_number = isinstance(f.dataType, T.NumericType)
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                c.cast("string").alias("text"),
-                (num(c) if is_number else F.lit(None).cast("double")).alias("v"),
-                F.lit(is_number).alias("is_number"),
-                F.lit(isinstance(f.dataType, T.BooleanType)).alias("is_boolean"),
-            )
-        )
-    long = df.select(F.inline(F.array(*cells)))
-    distinct = long.groupBy("column", "text", "v", "is_number", "is_boolean").agg(F.count(F.lit(1)).alias("n"))
-    filled = F.col("text").isNotNull()
-    count_where = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    v = finite(F.col("v"))
-    stats = distinct.groupBy("column").agg(
-        count_where(filled).alias("total_values"),
-        count_where(~filled).alias("null_count"),
-        F.count_if(filled).alias("unique_count"),
-        count_where(filled & F.col("is_number")).alias("numeric_count"),
-        count_where(filled & ~F.col("is_number")).alias("text_count"),
-        count_where(filled & F.col("is_boolean")).alias("boolean_count"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.sum(v * F.col("n")).alias("sum"),
-        count_where(v.isNotNull()).alias("finite_count"),
-    )
-    first = F.row_number().over(Window.partitionBy("column").orderBy("text"))
-    samples = (
-        distinct.where(filled).withColumn("place", first).where(F.col("place") <= SAMPLES)
-        .groupBy(F.col("column").alias("__s"))
-        .agg(F.sort_array(F.collect_list("text")).alias("samples"))
-    )
-    medians = exact_percentiles(long, ["column"], [("median", "v", 0.5)]).withColumnRenamed("column", "__m")
-    return (
-        stats.join(samples, F.col("column") == F.col("__s"), "left")
-        .join(medians, F.col("column") == F.col("__m"), "left")
-        .select(
-            "column", "total_values", "null_count", "unique_count", "numeric_count", "text_count", "boolean_count",
-            "samples", "min", "max", F.try_divide("sum", "finite_count").alias("avg"), "sum", "median",
+    fields = df.schema.fields
+    margins = [0.5 - percentile.MARGIN, 0.5 + percentile.MARGIN]
+    counts: dict[str, list[Column]] = {}
+    names = ("n", "total_values", "min", "max", "sum", "finite_count", "bracket")
+    for f in fields:
+        c, numeric = as_column(f.name), isinstance(f.dataType, T.NumericType)
+        v = finite(num(c))
+        null = F.max(F.lit(None).cast("double"))
+        numbers = [F.min(v), F.max(v), F.sum(v), F.count(v), F.percentile_approx(v, margins, percentile.ACCURACY)]
+        counts[f.name] = [F.count(F.lit(1)), F.count(c), *(numbers if numeric else [null, null, null, F.lit(0).cast("long"), F.lit(None).cast("array<double>")])]
+    flat = df.agg(*[a.alias(f"__{i}_{n}") for i, per in enumerate(counts.values()) for n, a in zip(names, per)])
+    rows = []
+    for i, f in enumerate(fields):
+        is_number, is_boolean = (F.lit(isinstance(f.dataType, t)) for t in (T.NumericType, T.BooleanType))
+        rows.append(F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), is_number.alias("is_number"), is_boolean.alias("is_boolean"), *[F.col(f"__{i}_{n}").alias(n) for n in names]))
+    stats = flat.select(F.inline(F.array(*rows)))
+
+    long = df.select(F.inline(F.array(*[_cell(f, i) for i, f in enumerate(fields)])))
+    filled = F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("fraction").isNotNull()
+    distinct = long.where(filled).groupBy("i", "text", "whole", "fraction").agg(F.count(F.lit(1)).alias("c"))
+    distinct = distinct.withColumn("text", F.coalesce("text", F.col("whole").cast("string"), F.col("fraction").cast("string")))
+    unique = distinct.groupBy("i").agg(F.count_if(F.col("c") > 0).alias("unique_count"))
+    first = F.row_number().over(Window.partitionBy("i").orderBy("text"))
+    # tests that look at the counts as well stay above the shuffle, so that all uses of the distinct values share it
+    samples = distinct.where(F.col("c") > 0).select("i", "text", first.alias("place")).where(F.col("place") <= SAMPLES).groupBy("i").agg(F.sort_array(F.collect_list("text")).alias("samples"))
+    out = stats.join(unique, "i", "left").join(samples, "i", "left")
+    decimal = {i for i, f in enumerate(fields) if isinstance(f.dataType, T.DecimalType)}
+    if any(isinstance(f.dataType, T.NumericType) for f in fields):
+        as_number = F.coalesce(F.col("whole").cast("double"), F.col("fraction"), *([F.when(F.col("i").isin(decimal), F.col("text").try_cast("double"))] if decimal else []))
+        bracket = stats.where(F.col("finite_count") > 0).select(
+            F.col("i").alias("__k_i"), (F.lit(0.5) * (F.col("finite_count") - 1)).alias("rank"),
+            F.get("bracket", F.lit(0)).alias("low"), F.get("bracket", F.lit(1)).alias("high"), percentile.salts_of(F.col("finite_count")).alias("salts"),
         )
-        .where(F.col("total_values") > 0)
+        values = distinct.select("i", F.when(F.col("c") > 0, finite(as_number)).alias("v"), "c").where(F.col("v").isNotNull())
+        out = out.join(percentile.by_cells(values, bracket, ["i"]).withColumnRenamed("exact", "median"), "i", "left")
+    else:
+        out = out.withColumn("median", F.lit(None).cast("double"))
+    count_if = lambda test: F.when(test, F.col("total_values")).otherwise(F.lit(0))
+    return out.where(F.col("total_values") > 0).select(
+        "column", "total_values", (F.col("n") - F.col("total_values")).alias("null_count"), "unique_count",
+        count_if(F.col("is_number")).alias("numeric_count"), count_if(~F.col("is_number")).alias("text_count"), count_if(F.col("is_boolean")).alias("boolean_count"),
+        "samples", "min", "max", F.try_divide("sum", "finite_count").alias("avg"), "sum", "median",
     )

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import percentile as P
 
@@ -53,3 +54,23 @@ def test_missing_values_do_not_count_and_the_plan_is_lazy(spark):
     out = P.exact_percentiles(df, ["g"], [("m", "v", 0.5)])
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
     assert {r["g"]: r["m"] for r in out.collect()} == {"a": 2.0, None: 5.0}
+
+
+def test_a_group_of_nearly_all_rows_is_dealt_over_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "SALT_ROWS", 500)
+    used = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in used}
+    met = []
+    real = P.with_brackets
+    monkeypatch.setattr(P, "with_brackets", lambda *a: met.append(real(*a)) or met[-1])
+    rng = random.Random(6)
+    groups = {"hot": [float(rng.randrange(10_000)) for _ in range(36_000)]} | {f"g{i}": [rng.random() for _ in range(8)] for i in range(500)}
+    try:
+        for k, v in used.items():
+            spark.conf.set(k, v)
+        check(spark, groups, [0.5, 0.9])
+        tasks = sorted(n for (n,) in met[0].groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == 80_000 and len(tasks) == 8 and tasks[-1] <= 4 * tasks[len(tasks) // 2]
