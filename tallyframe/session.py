@@ -18,6 +18,7 @@ def local_session(cores: int | str = "*", name: str = "tallyframe", memory: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost milliseconds for each column expression
     )
     if memory:
         builder = builder.config("spark.driver.memory", memory)
