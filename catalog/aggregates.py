@@ -189,6 +189,23 @@ def _(t):
     return rounded(rounded(total, 2, "revenue"), 4, "mid")
 
 
+ABOUT = [
+    Metric("buyers", Agg(CUST, "COUNT_DISTINCT", approximate=True)), Metric("mid", Agg(PRICE, "MEDIAN", approximate=True)),
+    Metric("high", Agg(PRICE, "PERCENTILE", 0.9, approximate=True)), Metric("revenue", Agg(PRICE)),
+]
+
+
+@query("total_row_of_sketches_a16", """
+SELECT count(*) AS record_count, round(sum(o_totalprice), 2) AS revenue, TRUE AS buyers_near, TRUE AS mid_near, TRUE AS high_near FROM orders""")
+def _(t):
+    total = Breakdown(t.orders, ABOUT, "o_orderpriority").store().total()
+    below = lambda m: F.avg((F.col(PRICE) <= total.select(m).scalar()).cast("int"))
+    near = total.select(
+        "record_count", "revenue", (F.abs(F.col("buyers") / t.orders.agg(F.count_distinct(CUST)).scalar() - 1) < 0.03).alias("buyers_near"),
+        (F.abs(t.orders.agg(below("mid")).scalar() - 0.5) < 0.01).alias("mid_near"), (F.abs(t.orders.agg(below("high")).scalar() - 0.9) < 0.01).alias("high_near"))
+    return rounded(near, 2, "revenue")
+
+
 @query("total_row_of_kept_rows_a16", """
 WITH g AS (SELECT CAST(o_custkey AS VARCHAR) AS label, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1),
 k AS (SELECT * FROM g ORDER BY s DESC NULLS LAST, label LIMIT 100)
@@ -212,6 +229,19 @@ def cells(t):
     return Breakdown(t.lineitem, metrics, "l_suppkey", Axis("l_shipdate", "date", "year")).rows(ordered=False)
 
 
+@query("totals_by_label_a18", """
+SELECT CAST(l_suppkey AS VARCHAR) AS label, count(*) AS record_count, round(avg(l_extendedprice), 4) AS mean, max(l_quantity) AS most,
+  round(sum(l_extendedprice) / max(l_quantity), 4) AS ratio, CAST(NULL AS DOUBLE) AS parts, TRUE AS parts_near FROM lineitem GROUP BY 1""")
+def _(t):
+    metrics = [Metric("mean", Agg("l_extendedprice", "AVG")), Metric("most", Agg("l_quantity", "MAX")),
+               Metric("ratio", {"a": "l_extendedprice", "b": ("l_quantity", "MAX")}, lambda a, b: a / b),
+               Metric("parts", Agg("l_partkey", "COUNT_DISTINCT")), Metric("about", Agg("l_partkey", "COUNT_DISTINCT", approximate=True))]
+    totals = Breakdown(t.lineitem, metrics, "l_suppkey", Axis("l_shipdate", "date", "year")).totals_by_label()
+    real = t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("__label")).agg(F.count_distinct("l_partkey").alias("real"))
+    near = F.abs(F.col("about") / F.col("real") - 1) < 0.05
+    return rounded(totals.join(real, F.col("label") == F.col("__label")).withColumn("parts_near", near).drop("__label", "real", "about"), 4, "mean", "ratio")
+
+
 RATIO_CALC = Calc(lambda a, b: a / b, {"a": "a", "b": "b"})
 
 

@@ -168,21 +168,31 @@ class Breakdown:
         """The total row.
 
         Sums and counts add up, extremes compare, averages are weighted, formulas are
-        evaluated again on these; distinct counts and percentiles cannot be re-aggregated
-        and are null. ``exact`` computes every metric from the data rows instead.
-        Rows with a blank label count.
+        evaluated again on these. Approximate distinct counts and percentiles merge their sketches;
+        exact ones cannot be re-aggregated and are null. ``exact`` computes every metric from the
+        data rows instead. Rows with a blank label count.
         """
         if exact or not self.keys:
             whole = self.plan.finish(self._partials([]))
             return whole.select(RECORD_COUNT, *map(as_column, self.plan.names))
-        if self.limit is None and self._stored is None:
-            kept = self.plan.finish(self._partials(self.keys, percentiles=False))
-        else:
-            kept = self._kept()
-        merged = kept.agg(*self.plan.total_aggregates())
+        merged = self._mergeable().agg(*self.plan.total_aggregates())
         total = self.plan.finish(merged, total=True)
         return total.select(F.coalesce(RECORD_COUNT, F.lit(0)).alias(RECORD_COUNT), *map(as_column, self.plan.names), *self._flag())
 
+    def _mergeable(self) -> DataFrame:
+        """The kept rows with their partials, without percentiles where nothing else has computed them."""
+        if self.limit is None and self._stored is None:
+            return self.plan.finish(self._partials(self.keys, percentiles=False))
+        return self._kept()
+
+    def totals_by_label(self) -> DataFrame:
+        """The total of each label over the second axis, re-aggregated like :meth:`total`."""
+        if "date_label" not in self.keys:
+            raise ValueError("totals by label need a category and a second axis")
+        merged = self._mergeable().groupBy(trim_all("label").alias("label")).agg(*self.plan.total_aggregates())
+        total = self.plan.finish(merged.where(filled("label")), total=True)
+        return total.select("label", RECORD_COUNT, *map(as_column, self.plan.names))
+
     def _flag(self) -> list[Column]:
         if self.limit is None:
             return []

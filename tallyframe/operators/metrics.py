@@ -20,6 +20,8 @@ from tallyframe.functions.numeric import as_column, finite, num, zero_if_null
 
 AGGREGATES = ("SUM", "AVG", "MIN", "MAX", "COUNT", "COUNT_DISTINCT", "MEDIAN", "PERCENTILE")
 HOLISTIC = ("COUNT_DISTINCT", "MEDIAN", "PERCENTILE")
+# Sizes of the sketches: distinct counts have a relative standard error of 0.8 %, ranks one under 0.3 %.
+DISTINCT_LG_K, QUANTILE_K = 14, 1000
 RECORD_COUNT = "record_count"
 
 
@@ -36,7 +38,8 @@ def filled(column: str) -> Column:
 class Agg:
     """One aggregate of one column; ``p`` is the fraction of a percentile.
 
-    ``approximate`` takes a sketch in place of an exact distinct count or percentile.
+    ``approximate`` takes a sketch in place of an exact distinct count or percentile; sketches can be merged, so
+    these have totals as well.
     """
 
     column: str
@@ -70,24 +73,25 @@ class Agg:
         """Partial columns: name -> (aggregate over rows, aggregate over partials)."""
         c = self.column
         if self.fn == "SUM":
-            return {f"__sum__{c}": (F.sum(num(c)), F.sum)}
+            return {f"__sum__{c}": (F.sum(num(c)), _of_numbers(F.sum))}
         if self.fn == "AVG":
             usable = finite(as_column(f"__sum__{c}")).isNotNull()
             return {
-                f"__sum__{c}": (F.sum(num(c)), F.sum),
-                f"__n__{c}": (F.count(num(c)), lambda n: F.sum(F.when(usable, n))),
+                f"__sum__{c}": (F.sum(num(c)), _of_numbers(F.sum)),
+                f"__n__{c}": (F.count(num(c)), _of_numbers(lambda n: F.sum(F.when(usable, n)))),
             }
         if self.fn == "MIN":
-            return {f"__min__{c}": (F.min(num(c)), F.min)}
+            return {f"__min__{c}": (F.min(num(c)), _of_numbers(F.min))}
         if self.fn == "MAX":
-            return {f"__max__{c}": (F.max(num(c)), F.max)}
+            return {f"__max__{c}": (F.max(num(c)), _of_numbers(F.max))}
         if self.fn == "COUNT":
-            return {f"__count__{c}": (F.count(as_column(c)), F.sum)}
+            return {f"__count__{c}": (F.count(as_column(c)), _of_numbers(F.sum))}
+        if self.fn == "COUNT_DISTINCT" and self.approximate:
+            return {f"__hll__{c}": (F.hll_sketch_agg(as_column(c).cast("string"), F.lit(DISTINCT_LG_K)), F.hll_union_agg)}
+        if self.approximate:  # one sketch serves all fractions of a column
+            return {f"__kll__{c}": (F.kll_sketch_agg_double(finite(num(c)), F.lit(QUANTILE_K)), F.kll_merge_agg_double)}
         if self.fn == "COUNT_DISTINCT":
-            count = F.approx_count_distinct if self.approximate else F.count_distinct
-            return {self.key: (count(as_column(c)), lambda _: F.lit(None))}
-        if self.approximate:
-            return {self.key: (F.percentile_approx(finite(num(c)), self.p), lambda _: F.lit(None))}
+            return {self.key: (F.count_distinct(as_column(c)), lambda _: F.lit(None).cast("double"))}
         return {}
 
     def value(self) -> Column:
@@ -96,7 +100,21 @@ class Agg:
             return F.try_divide(as_column(f"__sum__{self.column}"), as_column(f"__n__{self.column}"))
         if self.is_percentile:
             return as_column(self.key)
-        return as_column(next(iter(self.partials())))
+        partial = as_column(next(iter(self.partials())))
+        if not self.approximate or self.fn not in HOLISTIC:
+            return partial
+        if self.fn == "COUNT_DISTINCT":
+            return F.hll_sketch_estimate(partial)
+        return F.when(F.kll_sketch_get_n_double(partial) > 0, F.kll_sketch_get_quantile_double(partial, F.lit(float(self.p))))
+
+    @property
+    def merges(self) -> bool:
+        """Whether the total can be made from the partials of the rows."""
+        return self.approximate or self.fn not in HOLISTIC
+
+
+def _of_numbers(merge: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda c: merge(finite(c)).cast("double")
 
 
 Binding = str | tuple | Agg
@@ -232,11 +250,8 @@ class MetricPlan:
         return [F.count(F.lit(1)).alias(RECORD_COUNT)] + [agg.alias(k) for k, (agg, _) in self.partials.items()]
 
     def total_aggregates(self) -> list[Column]:
-        """Aggregates over grouped rows for the total row; holistic partials have none."""
-        merged = [F.sum(RECORD_COUNT).alias(RECORD_COUNT)]
-        for key, (_, merge) in self.partials.items():
-            merged.append(merge(finite(as_column(key))).cast("double").alias(key))
-        return merged
+        """Aggregates over grouped rows for a total row; exact distinct counts and percentiles have none."""
+        return [F.sum(RECORD_COUNT).alias(RECORD_COUNT)] + [merge(as_column(k)).alias(k) for k, (_, merge) in self.partials.items()]
 
     def finish(self, df: DataFrame, total: bool = False) -> DataFrame:
         """Append the metric columns to a frame of partials, in dependency order.
@@ -248,8 +263,8 @@ class MetricPlan:
         for level in self._levels():
             plain: dict[str, Column] = {}
             for o in level:
-                holistic = any(a.fn in HOLISTIC for a in o.metric.bindings.values())
-                if total and (holistic or lost & set(filter(None, o.operands.values()))):
+                merges = all(a.merges for a in o.metric.bindings.values())
+                if total and (not merges or lost & set(filter(None, o.operands.values()))):
                     lost.add(o.alias)
                     plain[o.alias] = F.lit(None).cast("double")
                 elif isinstance(o.metric.formula, str):

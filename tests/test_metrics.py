@@ -65,6 +65,31 @@ def test_sketches(frame):
     assert abs(row["d"] - 50) <= 3 and abs(row["m"] - row["x"]) <= 1
 
 
+@pytest.mark.parametrize("store", [False, True])
+def test_totals_of_sketches_are_near_the_exact_ones(frame, store):
+    rng = random.Random(8)
+    groups = ["hot"] * 18 + ["a", "b"]
+    df = frame([(rng.choice(groups), rng.choice("xyz"), float(int(rng.expovariate(1) * 3000)), None) for _ in range(20_000)], "g string, h string, v double, none double")
+    about = [Metric("d", Agg("v", "COUNT_DISTINCT", approximate=True)), Metric("m", Agg("v", "MEDIAN", approximate=True)),
+             Metric("p", Agg("v", "PERCENTILE", 0.9, approximate=True)), Metric("twice", {"d": Agg("v", "COUNT_DISTINCT", approximate=True)}, lambda d: d * 2),
+             Metric("nd", Agg("none", "COUNT_DISTINCT", approximate=True)), Metric("nm", Agg("none", "MEDIAN", approximate=True)), Metric("lost", Agg("v", "MEDIAN"))]
+    b = Breakdown(df, about, "g", Axis("h"))
+    assert sorted(b.plan.partials) == ["__hll__none", "__hll__v", "__kll__none", "__kll__v"]
+    b = b.store() if store else b
+    values = sorted(r["v"] for r in df.collect())
+
+    def near(row, values):
+        rank = lambda x: sum(v <= x for v in values) / len(values)
+        assert row["d"] == pytest.approx(len(set(values)), rel=0.03) and row["twice"] == 2 * row["d"]
+        assert rank(row["m"]) == pytest.approx(0.5, abs=0.01) and rank(row["p"]) == pytest.approx(0.9, abs=0.01)
+        assert row["nd"] == 0 and row["nm"] is None and row["lost"] is None
+
+    near(one(b.total()), values)
+    totals = by_label(b.totals_by_label())
+    assert set(totals) == {"hot", "a", "b"} and sum(r["record_count"] for r in totals.values()) == 20_000
+    near(totals["hot"], [r["v"] for r in df.where("g = 'hot'").collect()])
+
+
 def test_operand_of_a_formula_keeps_its_aggregate_in_total(frame):
     df = frame([("A", 12.0), ("B", 47.0), ("C", 30.0)], "g string, v double")
     assert one(Breakdown(df, [Metric("m", {"a": ("v", "MAX")}, lambda a: a + 0)], "g").total())["m"] == 47
