@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.common import RecentDict, map_rows, stored, texts
+from tallyframe.llm.common import RecentDict, begin_memos, map_rows, stored, texts
 
 EDGES_A_TASK = 200_000
 SAMPLE = 5_000  # sets that tell which shingles are common
@@ -101,6 +101,7 @@ def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataF
     word_odd, path_odd, sig_odd = join.multipliers()
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
+        begin_memos("chosen_path", _WORDS.clear)
         for i, text in flow:
             s = shingles(text, join, word_odd)
             if not len(s):

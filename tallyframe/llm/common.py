@@ -82,6 +82,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def begin_memos(owner: str, drop: Callable[[], None]) -> None:
+    """Say that an operator begins to fill memos in this worker process: those of all others are dropped.
+
+    Worker processes outlive the stages of a pipeline, so what each operator has learnt would else add up in them.
+    """
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    _HELD[owner] = drop
+
+
 class RecentDict:
     """A bounded memo: two generations, the older one dropped when the younger is full."""
 
@@ -96,6 +109,9 @@ class RecentDict:
                 self.put(key, value)
         return value
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def put(self, key, value) -> None:
         if len(self.young) >= self.size:
             self.old, self.young = self.young, {}

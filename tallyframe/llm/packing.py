@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallyframe.llm.common import WORD, map_rows, stored, texts
+from tallyframe.llm.common import WORD, begin_memos, map_rows, stored, texts
 
 _WORD = re.compile(WORD)
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -148,6 +148,7 @@ def pieces(docs: DataFrame, path: str, classes: Classes, end_id: int, id_col: st
     """The pieces of every document, numbered within worker and class."""
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
+        begin_memos("packing", _CODERS.clear)
         own, worker, numbers = coder(path), TaskContext.get().partitionId(), dict.fromkeys(classes.slots, 0)
         end = int(end_id).to_bytes(4, "little")
         for i, text in flow:

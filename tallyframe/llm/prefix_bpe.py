@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import regex
 from pyspark.sql import DataFrame
 
-from tallyframe.llm.common import RecentDict, map_rows, texts
+from tallyframe.llm.common import RecentDict, begin_memos, map_rows, texts
 
 
 class PrefixBpe:
@@ -166,6 +166,7 @@ _CODECS: dict[tuple[str, str], TextCodec] = {}
 
 def codec(path: str, pattern: str) -> TextCodec:
     """One codec a process; the vocabulary file is read where it is used."""
+    begin_memos("prefix_bpe", _CODECS.clear)
     if (path, pattern) not in _CODECS:
         _CODECS[path, pattern] = TextCodec(PrefixBpe.load(path), pattern)
     return _CODECS[path, pattern]
