@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyframe.functions.dates import interval, interval_label
 from tallyframe.functions.numeric import as_column, finite, num
@@ -30,11 +30,44 @@ class Axis:
     buckets: int | None = None
 
 
+#: Values that the counters of a heavy-hitter search may hold; what they miss has at most ``DOUBT / TRACKED`` of the rows.
+TRACKED = 10_000
+# Twice the error of the counters, as a value is only given when its lower bound is above the error.
+DOUBT = 2 * 3.5 * 0.75
+_COUNTED = (T.StringType, T.IntegralType, T.BooleanType, T.DateType)
+
+
+def top_values(df: DataFrame, column: str, n: int) -> list:
+    """The ``n`` most frequent values, counted exactly; ties go to the smaller value, null comes last among equals.
+
+    Counters of bounded size, merged over the tasks, name the candidates; only those are counted, so the shuffle
+    holds no more than the counters do. Where a value that is no candidate could still be as frequent as the last of
+    the ``n``, all values are counted. Runs its jobs at once; the driver gets ``TRACKED`` values at most.
+    """
+    values = df.select(as_column(column).alias("v"))
+    ranked = lambda counts: [(r["v"], r["count"]) for r in counts.orderBy(F.desc("count"), F.asc_nulls_last("v")).limit(n).collect()]
+    tracked = max(TRACKED, n)
+    seen = values.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(v, {tracked}, {tracked})").alias("top")).first()
+    if not seen["n"]:
+        return []
+    beyond = seen["n"] * DOUBT / tracked
+    found = sorted((t["count"] for t in seen["top"]), reverse=True)
+    whole = sum(found) == seen["n"]  # perhaps there are no other values at all
+    least = found[n - 1] - beyond if len(found) >= n and not whole else 0
+    candidates = df.sparkSession.createDataFrame([(t["item"],) for t in seen["top"] if t["count"] >= least] + [(None,)], values.schema).distinct()
+    counted = values.join(F.broadcast(candidates.withColumnRenamed("v", "c")), F.col("v").eqNullSafe(F.col("c")), "left_semi").groupBy("v").count()
+    best = ranked(counted)
+    sure = len(best) == n and best[-1][1] > beyond or whole and counted.agg(F.sum("count")).first()[0] == seen["n"]
+    return [v for v, _ in (best if sure else ranked(values.groupBy("v").count()))]
+
+
 def fold_top_n(df: DataFrame, column: str, n: int, into: str) -> DataFrame:
     """Add ``into``: the value if it is among the ``n`` most frequent, else the label for the rest.
 
     Ties go to the smaller value. Null takes part in the ranking but is always folded.
     """
+    if isinstance(df.schema[column].dataType, _COUNTED):
+        return df.withColumn(into, F.when(as_column(column).isin([v for v in top_values(df, column, n) if v is not None]), as_column(column).cast("string")).otherwise(OTHER_LABEL))
     ranked = df.groupBy(as_column(column).alias("__top")).count()
     top = ranked.orderBy(F.desc("count"), F.asc_nulls_last("__top")).limit(n).select("__top")
     joined = df.join(top, as_column(column) == F.col("__top"), "left")

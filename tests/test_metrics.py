@@ -254,3 +254,26 @@ def test_date_labels_do_not_depend_on_the_time_zone(spark, frame):
                 assert one(b.total())["record_count"] == 5
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("case", ["skewed", "flat", "few", "ties", "empty"])
+def test_top_values_by_bounded_counters(spark, monkeypatch, case):
+    from tallyframe.operators import breakdown
+
+    monkeypatch.setattr(breakdown, "TRACKED", 64)
+    rng = random.Random(3)
+    values = {
+        "skewed": [rng.choice(["hot"] * 5 + [None] * 2 + ["warm", "b"]) if rng.random() < 0.6 else f"v{rng.randrange(4000)}" for _ in range(6000)],
+        "flat": [f"v{rng.randrange(900)}" for _ in range(6000)],
+        "few": [rng.choice("abc") for _ in range(500)] + [None] * 200,
+        "ties": [f"t{i}" for i in range(30)] * 20,
+        "empty": [],
+    }[case]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(4)
+    counts = sorted(((values.count(v), v) for v in set(values)), key=lambda x: (-x[0], x[1] is None, x[1] or ""))
+    for n in (1, 3, 5):
+        assert breakdown.top_values(df, "v", n) == [v for _, v in counts[:n]]
+    folded = breakdown.fold_top_n(df, "v", 3, "f").groupBy("f").count().collect()
+    kept = {v for _, v in counts[:3] if v is not None}
+    want = {v: values.count(v) for v in kept} | {breakdown.OTHER_LABEL: sum(v not in kept for v in values)}
+    assert {r["f"]: r["count"] for r in folded} == {k: c for k, c in want.items() if c}
