@@ -7,7 +7,7 @@ from catalog.base import query, rounded
 from tallyframe import Agg, Axis, Breakdown, Dashboard, Metric
 from tallyframe.functions.text import natural_key
 from tallyframe.operators.pivot import long_cells, pivot, pivot_axis, row_totals
-from tallyframe.operators.views import chart_table, first_values, flatten_groups, group_rows, page, placed, row_order, sort_rows, top_series, treemap
+from tallyframe.operators.views import Pages, chart_table, first_values, flatten_groups, group_rows, page, placed, row_order, sort_rows, top_series, treemap
 from tallyframe.session import shared_folder
 from tallyframe.sources.tables import save_dataset
 
@@ -45,10 +45,18 @@ def _(t):
 
 
 @query("natural_order_o4", """
-SELECT 'Part ' || CAST(p_partkey AS VARCHAR) AS label, 'part |' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 6, '0') || ':' || CAST(p_partkey AS VARCHAR) AS sort_key FROM part""")
+SELECT 'Part ' || CAST(p_partkey AS VARCHAR) AS label, 'Part ' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 6, '0') || CAST(p_partkey AS VARCHAR) AS sort_key FROM part""")
 def _(t):
     named = t.part.select(F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("label"))
-    return sort_rows(named).withColumn("sort_key", F.array_join(natural_key("label"), "|"))
+    return sort_rows(named).withColumn("sort_key", natural_key("label").cast("string"))
+
+
+@query("locale_order_o4", """
+SELECT label, row_number() OVER (ORDER BY letter IN ('Ж', 'ж'), p_partkey) AS place FROM (
+  SELECT p_partkey, letter, letter || ' ' || CAST(p_partkey AS VARCHAR) AS label FROM (SELECT p_partkey, ('ЖЁеёЕж')[CAST(p_partkey % 6 + 1 AS BIGINT)] AS letter FROM part))""")
+def _(t):
+    letter = F.substring(F.lit("ЖЁеёЕж"), (F.col("p_partkey") % 6 + 1).cast("int"), F.lit(1))
+    return placed(t.part.select(F.concat(letter, F.lit(" "), F.col("p_partkey").cast("string")).alias("label")), row_order("label"))
 
 
 @query("page_o5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
@@ -56,6 +64,14 @@ def _(t):
     return page(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], 3)
 
 
+@query("pages_of_one_result_o5", """
+SELECT o_orderkey, o_orderpriority, 1 AS page FROM (SELECT * FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 100)
+UNION ALL SELECT o_orderkey, o_orderpriority, 12 FROM (SELECT * FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 100 OFFSET 1100)""")
+def _(t):
+    pages = Pages(t.orders.select("o_orderkey", "o_orderpriority"), [F.desc("o_orderpriority")], 100)
+    return pages.page(1).withColumn("page", F.lit(1)).unionByName(pages.page(12).withColumn("page", F.lit(12)))
+
+
 @query("last_page_o5", """
 SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 50 OFFSET (SELECT greatest(ceil(count(*) / 50.0) - 1, 0) * 50 FROM customer)""")
 def _(t):

@@ -131,13 +131,17 @@ def normalize_key(c: Column | str, mode: str = "none") -> Column:
     return F.when(v.rlike(r"^\d+$") & (F.length(v) < width), F.lpad(v, width, "0")).otherwise(v)
 
 
-def natural_key(c: Column | str) -> Column:
-    """Sort key under which digit runs compare by value and letters without case."""
-    parts = F.regexp_extract_all(F.lower(as_column(c)), F.lit(r"(\d+|\D+)"), F.lit(1))
+def natural_key(c: Column | str, locale: str = "ru") -> Column:
+    """Sort key of labels: letters as the locale orders them, digit runs by value.
+
+    Letters differ first, then accents, then case, each over the whole label: "ё" stands with "е", and "part 2" before
+    "Part 10". A digit run is written behind its length, so it compares by value with other runs and as a digit with
+    everything else; the rest is the locale's collation of the one text.
+    """
+    parts = F.regexp_extract_all(as_column(c), F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def encode(part: Column) -> Column:
         digits = F.regexp_replace(part, r"^0+(?=\d)", "")
-        by_value = F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), F.lit(":"), digits)
-        return F.when(part.rlike(r"^\d"), by_value).otherwise(part)
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(part)
 
-    return F.transform(parts, encode)
+    return F.collate(F.array_join(F.transform(parts, encode), ""), locale)

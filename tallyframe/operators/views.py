@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from itertools import accumulate
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -14,10 +15,9 @@ from tallyframe.functions.formula import Term, result_column
 from tallyframe.functions.numeric import as_column, zero_if_null
 from tallyframe.functions.text import natural_key
 from tallyframe.operators.metrics import RECORD_COUNT, Metric
-from tallyframe.session import stored
+from tallyframe.session import shared_folder, stored
 
 PAGE_SIZE = 50
-# Rows up to which a page is taken as a top-k.
 SERIES_LIMIT = 8
 RELATIVE_EPSILON = 1e-9
 
@@ -148,13 +148,44 @@ def placed(rows: DataFrame, order: Sequence[Column | str], into: str = "place")
     return kept.join(starts, part == F.col("__part")).withColumn(into, place).drop("__id", "__part", "__start")
 
 
+class Pages:
+    """A result put in order and stored once, with the number of rows in each of its sorted ranges.
+
+    A page is read from the one or two ranges that hold it: the ranges are folders, so no other is opened, and rows
+    carry their number within the range, so no more of it is decoded than the row groups around the page. Ties in the
+    order are decided by the other columns. The driver keeps a number for each range.
+    """
+
+    def __init__(self, rows: DataFrame, order: Sequence[Column | str], size: int = PAGE_SIZE):
+        ties = [as_column(f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType)]
+        self.size, self.columns = size, rows.columns
+        path = shared_folder(rows.sparkSession)
+        numbered = rows.orderBy(*order, *ties).withColumn("__id", F.monotonically_increasing_id())
+        numbered = numbered.withColumn("__range", F.shiftright("__id", 33)).withColumn("__id", F.col("__id").bitwiseAND((1 << 33) - 1))
+        numbered.write.partitionBy("__range").parquet(path)
+        schema = T.StructType([*rows.schema.fields, T.StructField("__id", T.LongType()), T.StructField("__range", T.LongType())])
+        self.kept = rows.sparkSession.read.schema(schema).parquet(path)
+        counts = self.kept.groupBy("__range").count().orderBy("__range").collect()
+        self.ranges = list(zip((r["__range"] for r in counts), accumulate((r["count"] for r in counts), initial=0), (r["count"] for r in counts)))
+        self.rows = sum(n for _, _, n in self.ranges)
+
+    @property
+    def last(self) -> int:
+        """The number of the last page, 1 where there are no rows."""
+        return max(1, -(-self.rows // self.size))
+
+    def page(self, number: int) -> DataFrame:
+        """One page, from 1; the number is clamped to the pages there are."""
+        start = (min(max(1, number), self.last) - 1) * self.size
+        held = [(r, first, n) for r, first, n in self.ranges if first < start + self.size and first + n > start]
+        within = [(F.col("__range") == r) & F.col("__id").between(start - first, start + self.size - first - 1) for r, first, _ in held]
+        shown = self.kept.where(reduce(or_, within, F.lit(False)))
+        return shown.orderBy("__range", "__id").select(*map(as_column, self.columns))
+
+
 def page(rows: DataFrame, order: Sequence[Column | str], number: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page, from 1, of rows in a given order; the number is clamped to the pages there are."""
-    numbered = placed(rows, order, "__place")
-    rows_there = numbered.agg(F.max("__place").alias("n")).scalar()
-    last = F.greatest(F.ceil(F.coalesce(rows_there, F.lit(0)) / size), F.lit(1))
-    start = (F.least(F.lit(max(1, number)), last) - 1) * size
-    return numbered.where((F.col("__place") > start) & (F.col("__place") <= start + size)).orderBy("__place").drop("__place")
+    """One page, from 1, of rows in a given order. Whoever wants several keeps the :class:`Pages`, which sort once."""
+    return Pages(rows, order, size).page(number)
 
 
 def top_series(cells: DataFrame, totals: DataFrame, metric: str, n: int = SERIES_LIMIT, chosen: Sequence[str] | None = None) -> DataFrame:

@@ -119,6 +119,34 @@ def test_pages(spark):
         assert [r["id"] for r in V.page(big, [F.desc("id")], n).collect()] == list(range(5000 - 50 * (n - 1) - 1, 5000 - 50 * n - 1, -1))
 
 
+def test_pages_of_one_result_sort_once_and_read_few_ranges(spark):
+    df = spark.range(5000).repartition(7).withColumn("v", F.col("id") % 10)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        pages = V.Pages(df, [F.desc("v")], 100)
+    finally:
+        spark.conf.set(key, was)
+    want = sorted(range(5000), key=lambda i: (-(i % 10), i))
+    assert pages.rows == 5000 and pages.last == 50 and len(pages.ranges) > 1
+    for n in (1, 2, 13, 50, 99):
+        shown = pages.page(n)
+        n = min(n, 50)
+        assert [r["id"] for r in shown.collect()] == want[100 * (n - 1) : 100 * n] and shown.columns == ["id", "v"]
+        plan = shown._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Sort") == 1  # of the page's own rows
+        assert len(shown.inputFiles()) == len(pages.ranges) and "__range" in shown._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+    assert V.Pages(df.where("id < 0"), ["id"]).page(3).collect() == []
+
+
+def test_labels_sort_by_locale(frame):
+    labels = ["Ж 1", "Ё 2", "Е 10", "ё 1", "part 2", "Part 10", "a1", "a b", "ab", "élan 1", "elan 2", "Elan 1", "é", "x 007", "x 7", "x 08", None]
+    df = frame([(v,) for v in labels], "label string")
+    order = [r["label"] for r in V.sort_rows(df).collect()]
+    assert order == ["ё 1", "Ё 2", "Е 10", "Ж 1", "a b", "a1", "ab", "é", "Elan 1", "élan 1", "elan 2", "part 2", "Part 10", "x 007", "x 7", "x 08", None]
+
+
 def test_search_treemap_and_chart(frame):
     df = frame([("01", "Север", 0.5), ("02", "Юг", -1.0), ("03", "Юго-восток", None)], "label string, name string, m double")
     assert [r["label"] for r in V.search(df, "ЮГ", "name").collect()] == ["02", "03"]
