@@ -157,6 +157,14 @@ def _(t):
     return save_dataset(t.supplier.toDF("c_custkey", "c_name", "x", "c_acctbal").drop("x"), folder, append=True)
 
 
+@query("repeated_batches_u1", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(t):
+    folder = shared_folder(t.spark)
+    for status in ("F", "O", "F", "P", "O"):  # a batch that comes again adds nothing
+        back = save_dataset(t.orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderstatus"), folder, append=True, batch=status)
+    return back
+
+
 @query("group_breakdowns_union_u2", GROUPED_SQL + """
 SELECT 'Sales · ' || label AS label, record_count, 'sales' AS group_id, 'Sales' AS group_name, 'main' AS metric_id, round(revenue, 2) AS value FROM g
 UNION ALL SELECT 'Clients · ' || label, record_count, 'clients', 'Clients', 'main', CAST(buyers AS DOUBLE) FROM g""")

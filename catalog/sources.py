@@ -88,6 +88,14 @@ def _(t):
     return S.save_dataset(t.supplier, shared_folder(t.spark))
 
 
+@query("replace_from_itself_s5", "SELECT count(*) AS before, count(*) FILTER (s_acctbal > 0) AS after FROM supplier")
+def _(t):
+    folder = shared_folder(t.spark)
+    first = S.save_dataset(t.supplier, folder)
+    second = S.save_dataset(first.where("s_acctbal > 0"), folder)
+    return first.agg(F.count(F.lit(1)).alias("before")).withColumn("after", second.agg(F.count(F.lit(1))).scalar())
+
+
 @query("export_in_pieces_s6", "SELECT count(*) AS n, TRUE AS within FROM lineitem")
 def _(t):
     back = S.export_pieces(t.lineitem, shared_folder(t.spark), rows=10_000)

@@ -11,6 +11,7 @@ from tallyframe.functions.numeric import as_column, num
 from tallyframe.functions.text import SPACE, clean_cells, trim_all
 from tallyframe.operators.filters import CLASSIFICATION
 from tallyframe.operators.report import ReportColumn
+from tallyframe.sources.datasets import load_dataset, save_dataset  # noqa: F401
 from tallyframe.sources.matrix import split_cells
 from tallyframe.sources.records import records
 
@@ -77,19 +78,6 @@ def append_parts(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def save_dataset(df: DataFrame, path: str, append: bool = False, max_rows_per_file: int | None = None) -> DataFrame:
-    """Persist a dataset as Parquet and give it back as read from there."""
-    writer = df.write.mode("append" if append else "overwrite")
-    if max_rows_per_file:
-        writer = writer.option("maxRecordsPerFile", max_rows_per_file)
-    writer.parquet(path)
-    return load_dataset(df.sparkSession, path)
-
-
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def export_pieces(df: DataFrame, path: str, rows: int = EXPORT_PIECE_ROWS) -> DataFrame:
     """Write in files of at most ``rows`` rows each."""
     return save_dataset(df, path, max_rows_per_file=rows)
