@@ -15,6 +15,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
@@ -24,12 +25,21 @@ from tallyframe.llm.common import RecentDict, begin_memos, map_rows, texts
 class PrefixBpe:
     """Ranks of a byte-level vocabulary (token bytes to id; a lower id merges earlier)."""
 
+    #: Pairs of tokens whose judgement is kept.
+    PAIRS = 2_000_000
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.decimals = {i: str(i) for i in self.bytes_of}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._follow: dict[tuple[int, int], bool] = {}
+        self._follow: dict[int, bool] = {}
+        self._suffixes = ahocorasick.Automaton()  # finds, at each byte, the tokens that end there
+        for token, b in self.bytes_of.items():
+            if self.reached(token):
+                self._suffixes.add_word(b.decode("latin-1"), (token, len(b)))
+        self._suffixes.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> PrefixBpe:
@@ -58,11 +68,37 @@ class PrefixBpe:
         over the border must not have come earlier than the one that is being undone. Of equal merges the left
         one comes first, so undoing on the right allows one rank less.
         """
-        known = self._follow.get((left, right))
+        pair = left << 32 | right
+        known = self._follow.get(pair)
         if known is None:
-            known = self._follow[left, right] = self._apart(left, right)
+            if len(self._follow) >= self.PAIRS:
+                self._follow.clear()
+            known = self._follow[pair] = self._apart(left, right)
         return known
 
+    def fill(self, data: bytes, last: list[int]) -> list[int]:
+        """Extend the last tokens of the first prefixes to all prefixes of ``data``.
+
+        An automaton over the tokens gives those that end at each byte, so nothing but real tokens is tried.
+        """
+        begin = len(last)
+        back = max(0, begin - self.longest)
+        last += [-1] * (len(data) + 1 - begin)
+        follow, may_follow = self._follow, self.may_follow
+        for at, (token, length) in self._suffixes.iter(data[back:].decode("latin-1")):
+            end = back + at + 1
+            start = end - length
+            if end < begin or start < 0 or last[end] >= 0:
+                continue
+            if start:
+                known = follow.get(last[start] << 32 | token)
+                if not (may_follow(last[start], token) if known is None else known):
+                    continue
+            last[end] = token
+        if -1 in last[begin:]:
+            raise ValueError(f"byte {data[last.index(-1, begin) - 1]} is not in the vocabulary")
+        return last
+
     def _apart(self, left: int, right: int) -> bool:
         before = 1 << 62
         while True:
@@ -93,7 +129,26 @@ class PrefixBpe:
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece of text; a piece that is a token as a whole is that token."""
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.table(piece).ids()
+        if whole is not None:
+            return [whole]
+        last, follow = [-1] * len(piece), self._follow  # here the last token of a prefix stands at its last byte
+        for at, (token, length) in self._suffixes.iter(piece.decode("latin-1")):
+            if last[at] < 0:
+                if at < length:
+                    last[at] = token
+                else:
+                    left = last[at - length]
+                    known = follow.get(left << 32 | token)
+                    if known or known is None and self.may_follow(left, token):
+                        last[at] = token
+        ids, at = [], len(piece) - 1
+        while at >= 0:
+            token = last[at]
+            if token < 0:
+                raise ValueError(f"byte {piece[at]} is not in the vocabulary")
+            ids.append(token)
+            at -= len(self.bytes_of[token])
+        return ids[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -106,10 +161,8 @@ class PrefixTable:
         self.bpe, self.data, self.last = bpe, b"", [-1]
 
     def append(self, more: bytes) -> PrefixTable:
-        start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, end, self.last))
+        self.bpe.fill(self.data, self.last)
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
@@ -192,7 +245,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
         sha = hashlib.sha256
         for i, text in flow:
             ids = own.encode(text or "")
-            yield i, len(ids), sha(",".join(map(str, ids)).encode()).hexdigest(), sha(own.bpe.decode(ids)).hexdigest()
+            yield i, len(ids), sha(",".join(map(own.bpe.decimals.__getitem__, ids)).encode()).hexdigest(), sha(own.bpe.decode(ids)).hexdigest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(texts(docs, id_col, text_col), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
