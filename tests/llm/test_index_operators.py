@@ -212,3 +212,62 @@ def test_given_tables_match_sql(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+# ---- the verdict of the compression bands
+
+
+def brute_verdict(text, bands):
+    """The method in other words: numpy interpolation over the logarithm of the length, chunks by slices."""
+    import numpy as np
+    import zstandard
+
+    pack = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    lengths, lows, highs = (np.array(x, float) for x in zip(*bands.limits))
+    side = lambda b: np.sign((pack(b) > np.interp(np.log(len(b)), np.log(lengths), highs)) * 1.0 - (pack(b) < np.interp(np.log(len(b)), np.log(lengths), lows)))
+    data = (text or "").encode()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:]))
+    repeated = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    if len(words) < 50 or 100 * len(repeated) > 50 * len(words):
+        return "base"
+    if len(data) < 256:
+        return "kept"
+    if side(data):
+        return "repetitive" if side(data) > 0 else "incompressible"
+    chunks = [c for c in (data[s : s + 2048] for s in range(0, len(data), 2048)) if len(c) >= 256]
+    return "bad chunks" if sum(side(c) != 0 for c in chunks) > 0.5 * len(chunks) else "kept"
+
+
+def test_verdicts_equal_brute_force_and_all_occur(spark):
+    pytest.importorskip("zstandard")
+    import base64
+
+    from tallyframe.llm.quality import Bands, with_quality
+
+    rng = random.Random(4)
+    plain = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] if os.path.isdir(FOLDER) else []
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(9)).decode() for _ in range(n))
+    few = lambda n, words: " ".join(rng.choice(words) for _ in range(n))
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    halves = " ".join(f"{few(150, vocabulary[:60])} {noise(80)}" for _ in range(3))
+    rows = [*plain, None, "", noise(60), noise(900), few(700, vocabulary[:40]), few(900, vocabulary), halves, few(55, ["a", "b", "cc", "d"])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    rated, name = with_quality(df)
+    got = {r["doc_id"]: r["verdict"] for r in rated.select("doc_id", f"{name}.verdict").collect()}
+    assert got == {i: brute_verdict(t, Bands()) for i, t in enumerate(rows)}
+    assert {"base", "kept", "repetitive", "incompressible"} <= set(got.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_bands_reject_bad_held_out_rows_and_leave_good_ones(spark):
+    from tallyframe.llm.quality import with_quality
+    from tallyframe.llm.toxicity import held_out
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+    rated, name = with_quality(read("documents").where(held_out(F.col("doc_id"))))
+    marks = read("labels").select("doc_id", F.col("quality").alias("good"))
+    seen = rated.join(marks, "doc_id").where(f"NOT {name}.base_failed AND length(text) >= 1024").groupBy("good").agg(F.count("*").alias("n"), F.count_if(~F.col(f"{name}.kept")).alias("gone")).collect()
+    found = {r["good"]: (r["gone"], r["n"]) for r in seen}
+    assert found[1][0] <= 0.02 * found[1][1]
+    assert found[0][0] >= 0.6 * found[0][1]
