@@ -1,19 +1,21 @@
 """MinHash near-duplicates: a chosen-path set-similarity join.
 
 A document is its set of word shingles. Documents with equal sets are one vertex. In each of ``trees`` independent
-random trees a minwise token of the set is selected and the vertex goes to the child of that token's value. A child
+random trees a vertex is branched ``depth`` times, each time to the child of a selected minwise token of its set. A leaf
 that is small is compared exhaustively by signatures, and what looks similar is confirmed on the full sets. A pair at
-the threshold shares a child with probability ``threshold`` in each tree, so 12 trees miss it with 0.25 ** 12. The
-vertices of children of more than ``leaf``, where only passages that very many documents share can bring them, are not
-branched at random again, which would lose pairs, but joined exactly: their paths are the prefixes of their full sets,
-rare shingles first, one of which any pair at the threshold shares.
+the threshold stays together at a branching with probability ``threshold``, so two branchings and 20 trees miss it with
+(1 - 0.75 ** 2) ** 20, under 1e-7; documents that only share a passage part at the second branching if not at the first.
+The vertices of leaves of more than ``leaf``, where only passages and copies of very many documents can bring them, are
+not branched at random again, which would lose pairs, but joined exactly: their paths are the prefixes of their full
+sets, rare shingles first, one of which any pair at the threshold shares.
 
 Links come in two passes. The first takes from every node the strongest edges that hold its similar vertices
-together, a number linear in the node. When those are confirmed and joined into components, the second pass takes
-every similar pair that still lies across two components. So large groups of near copies cost no pairs within
-them, and no link between groups is lost. Where more than ``leaf`` vertices share a shingle of their prefixes, the
-first pass looks at blocks with common pivots, the second at every two blocks, spread over tasks, but for blocks of one
-component.
+together, a number linear in the node; they are confirmed and joined into components. The second looks in every node
+for vertices that look like one of another component. Only these take their full sets to the node, once each, are
+compared there exactly, and true links alone leave it, as many as hold the node's components together: groups of
+documents that are nearly near copies make no rows. A pair is looked at in the first tree that it shares a leaf of.
+Where more than ``leaf`` vertices share a shingle of their prefixes, the first pass looks at blocks with common
+pivots, the second at every two blocks, spread over tasks, but for blocks of one component.
 
 Nothing of data size reaches the driver; components are found by alternating large-star and small-star steps.
 
@@ -26,7 +28,7 @@ shingled whole; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,17 +49,17 @@ _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 class Join:
     words: int = 5
     threshold: int = 75  # per cent of the union
-    trees: int = 12
+    trees: int = 20
+    depth: int = 2  # branchings of a tree
     signature: int = 192
     similar: float = 0.64  # 3.5 standard errors of the signature below the threshold
     leaf: int = 2500
-    depth: int = 3  # without effect: hot nodes are joined exactly, not branched
     pivots: int = 32
 
-    def multipliers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.Generator(np.random.PCG64(75))
         odd = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return odd(self.words), odd(self.trees), odd(self.signature).astype(np.uint32)
+        return odd(self.words), odd(max(self.signature, self.trees * self.depth)).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,8 +99,9 @@ def shingles(text: str | None, join: Join, odd: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_id (a 128-bit fingerprint of the set), path (64-bit minwise tokens), signature (16 bits a hash)."""
-    word_odd, path_odd, sig_odd = join.multipliers()
+    """id, n_shingles, set_id (a 128-bit fingerprint of the set), path (the 32-bit minwise tokens of all trees), signature
+    (8 bits a hash)."""
+    word_odd, sig_odd = join.multipliers()
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
         begin_memos("chosen_path", _WORDS.clear)
@@ -107,40 +110,41 @@ def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataF
             if not len(s):
                 yield i, 0, None, None, None
                 continue
-            path = np.full(len(path_odd), np.iinfo(np.uint64).max, np.uint64)
             low = np.full(len(sig_odd), np.iinfo(np.uint32).max, np.uint32)
             for a in range(0, len(s), 1024):  # bounded work space for very long texts
                 part = s[a : a + 1024]
-                np.minimum(path, (part[:, None] * path_odd).min(axis=0), out=path)
                 np.minimum(low, ((part >> np.uint64(32)).astype(np.uint32)[:, None] * sig_odd).min(axis=0), out=low)
             set_id = np.array([s.sum(), _mix(s + np.uint64(len(s))).sum()], np.uint64).tobytes()
-            yield i, len(s), set_id, path.tobytes(), low.astype("<u2").tobytes()
+            yield i, len(s), set_id, low[: join.trees * join.depth].tobytes(), low[: join.signature].astype("u1").tobytes()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(texts(docs, id_col, text_col), f"id {kind}, n_shingles long, set_id binary, path binary, signature binary", rows)
 
 
 def _children(vertices: DataFrame, join: Join) -> DataFrame:
-    """(set_id, node) of the child that a vertex (set_id, path) goes to in every tree."""
+    """(set_id, node, tree) of the leaf that a vertex (set_id, path) comes to in every tree: at each branching it goes to
+    the child of the tree's next minwise token."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint64).reshape(b.num_rows, join.trees)
+            path = np.frombuffer(b"".join(b.column("path").to_pylist()), np.uint32).reshape(b.num_rows, join.trees, join.depth).astype(np.uint64)
             for t in range(join.trees):
-                n = _mix(path[:, t] + np.uint64(0x9E3779B97F4A7C15 * (t + 1) % 2**64))
-                yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(n.view(np.int64))], names=["set_id", "node"])
+                n = _mix(np.full(b.num_rows, 0x9E3779B97F4A7C15 * (t + 1) % 2**64, np.uint64))
+                for level in range(join.depth):
+                    n = _mix(n + path[:, t, level] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(level + 1))
+                yield pa.RecordBatch.from_arrays([b.column("set_id"), pa.array(n.view(np.int64)), pa.array(np.full(b.num_rows, t, np.int32))], names=["set_id", "node", "tree"])
 
-    return vertices.select("set_id", "path").mapInArrow(step, "set_id binary, node long")
+    return vertices.select("set_id", "path").mapInArrow(step, "set_id binary, node long, tree int")
 
 
 def leaves(vertices: DataFrame, join: Join) -> tuple[DataFrame, DataFrame | None]:
-    """(set_id, node) of all nodes of two vertices or more, ``leaf`` at most; the set_id of what larger nodes hold, if any."""
+    """(set_id, node, tree) of all nodes of two vertices or more, ``leaf`` at most; the set_id of what larger nodes hold, if any."""
     level = _children(vertices, join)
     met = stored(level.join(level.groupBy("node").count().where("count > 1"), "node"))
     hot = met.where(F.col("count") > join.leaf)
-    return met.where(F.col("count") <= join.leaf).select("set_id", "node"), None if hot.isEmpty() else stored(hot.select("set_id").distinct())
+    return met.where(F.col("count") <= join.leaf).select("set_id", "node", "tree"), None if hot.isEmpty() else stored(hot.select("set_id").distinct())
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -205,60 +209,15 @@ def _block_pairs(hot: DataFrame, placed: DataFrame, join: Join) -> DataFrame:
     return members.select("set_id", "root", "block").join(pairs, "block").select("set_id", F.col("pair").alias("node"), "root")
 
 
-def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
-    """Distinct pairs (a, b) of one node whose signatures agree well enough, from (set_id, node, n_shingles,
-    signature[, root]). Without ``across`` only the strongest edges that span a node's similar vertices; with it
-    all pairs of different roots."""
-    least, size_share, width = int(np.ceil(join.similar * join.signature)), join.threshold / 100, join.signature
-    least_head = int(48 * (join.similar - 0.2))  # of the first 48, 4.7 standard errors below the threshold
-    keys = ["node", "set_id", "n_shingles", "signature", *(["root"] if across else [])]
-
-    def compare(ids: list[bytes], n: np.ndarray, sig: np.ndarray, roots: list[bytes] | None) -> Iterator[tuple[bytes, bytes]]:
-        if roots is not None:
-            code = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
-            if code.max() == 0:
-                return
-        found = []
-        head = np.ascontiguousarray(sig[:, :48])
-        for x in range(len(ids) - 1):
-            ok = np.minimum(n[x + 1 :], n[x]) >= size_share * np.maximum(n[x + 1 :], n[x])
-            if roots is not None:
-                ok &= code[x + 1 :] != code[x]
-            y = np.flatnonzero(ok)
-            if not len(y):
-                continue
-            y = y[(head[y + x + 1] == head[x]).sum(axis=1) >= least_head]
-            agree = (sig[y + x + 1] == sig[x]).sum(axis=1)
-            for j in np.flatnonzero(agree >= least):
-                pair = (x, x + 1 + int(y[j]))
-                if roots is None:
-                    found.append((-int(agree[j]), *sorted((ids[pair[0]], ids[pair[1]])), *pair))
-                else:
-                    yield tuple(sorted((ids[pair[0]], ids[pair[1]])))
-        if found:
-            parent = list(range(len(ids)))
-
-            def top(v: int) -> int:
-                while parent[v] != v:
-                    parent[v] = parent[parent[v]]
-                    v = parent[v]
-                return v
-
-            for _, a, b, x, y in sorted(found):
-                if (p := top(x)) != (q := top(y)):
-                    parent[p] = q
-                    yield a, b
+def _per_node(members: DataFrame, schema: str, group: Callable[[pa.Table], dict[str, list]]) -> DataFrame:
+    """``group`` applied to the rows of every node of two rows or more; it gives the columns of its result."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-        def group(t: pa.Table) -> list[tuple[bytes, bytes]]:
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(t.num_rows, width)
-            return list(compare(t.column("set_id").to_pylist(), t.column("n_shingles").to_numpy(), sig, t.column("root").to_pylist() if across else None))
-
-        def out(pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], schema=schema)
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            made = group(t) if t.num_rows > 1 else {}
+            if made and len(made[names[0]]):
+                yield pa.RecordBatch.from_arrays([pa.array(made[n], pa.int64() if n == "node" else pa.binary()) for n in names], names=names)
 
         rest: pa.Table | None = None
         for b in batches:  # sorted by node; the last node of a batch may go on in the next
@@ -268,17 +227,120 @@ def similar_pairs(members: DataFrame, join: Join, across: bool) -> DataFrame:
                 continue
             node = t.column("node").to_numpy()
             cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()]
-            pairs: list[tuple[bytes, bytes]] = []
             for s, e in zip(cuts, cuts[1:]):
-                if e - s > 1:
-                    pairs += group(t.slice(s, e - s))
-            yield from out(pairs)
+                yield from out(t.slice(s, e - s))
             rest = t.slice(cuts[-1])
-        if rest is not None and rest.num_rows > 1:
-            yield from out(group(rest))
+        if rest is not None:
+            yield from out(rest)
+
+    return members.repartition("node").sortWithinPartitions("node").mapInArrow(nodes, schema)
+
+
+def _bytes_of(t: pa.Table, name: str, kind: str, *shape: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, *shape)
+
+
+def _alike(n: np.ndarray, sig: np.ndarray, join: Join, other: Callable[[int], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each vertex x of a node, the later ones whose signatures agree well enough with it, and in how many hashes."""
+    least = int(np.ceil(join.similar * join.signature))
+    least_head = int(48 * (join.similar - 0.2))  # of the first 48, 4.7 standard errors below the threshold
+    size_share, head = join.threshold / 100, np.ascontiguousarray(sig[:, :48])
+    for x in range(len(n) - 1):
+        ok = np.minimum(n[x + 1 :], n[x]) >= size_share * np.maximum(n[x + 1 :], n[x])
+        if other is not None:
+            ok &= other(x)
+        y = np.flatnonzero(ok) + x + 1
+        if len(y):
+            y = y[(head[y] == head[x]).sum(axis=1) >= least_head]
+            agree = (sig[y] == sig[x]).sum(axis=1)
+            yield x, y[agree >= least], agree[agree >= least]
+
+
+def spanning_pairs(members: DataFrame, join: Join) -> DataFrame:
+    """Distinct pairs (a, b): of each node (set_id, node, n_shingles, signature) the strongest edges that hold its similar
+    vertices together."""
+
+    def group(t: pa.Table) -> dict[str, list]:
+        ids = t.column("set_id").to_pylist()
+        found = [(-int(k), x, int(y)) for x, ys, agree in _alike(t.column("n_shingles").to_numpy(), _bytes_of(t, "signature", "u1", join.signature), join) for y, k in zip(ys, agree)]
+        joined, pairs = _Union(len(ids)), []
+        for _, x, y in sorted(found):
+            if joined.join(x, y):
+                pairs.append(sorted((ids[x], ids[y])))
+        return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
+
+    return _per_node(members.select("node", "set_id", "n_shingles", "signature"), "a binary, b binary", group).distinct()
+
+
+class _Union:
+    """Which of some numbers have been joined."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def top(self, v: int) -> int:
+        parent = self.parent
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    def join(self, a: int, b: int) -> bool:
+        p, q = self.top(a), self.top(b)
+        self.parent[p] = q
+        return p != q
+
+
+def contested(members: DataFrame, join: Join) -> DataFrame:
+    """(set_id, node) of the vertices that look like one of another root in a node, from (set_id, node, tree, n_shingles,
+    signature, path, root). A pair counts in the first tree that it shares a node of; nodes without a tree count always."""
+
+    def group(t: pa.Table) -> dict[str, list]:
+        root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        if not root.any():
+            return {}
+        tree, mark = t.column("tree")[0].as_py(), np.zeros(t.num_rows, bool)
+        before = _bytes_of(t, "path", "u4", join.trees, join.depth)[:, : tree or 0]
+        for x, y, _ in _alike(t.column("n_shingles").to_numpy(), _bytes_of(t, "signature", "u1", join.signature), join, lambda x: root[x + 1 :] != root[x]):
+            if tree:
+                y = y[~(before[y] == before[x]).all(axis=2).any(axis=1)]
+            mark[y] = True
+            mark[x] |= len(y) > 0
+        at = np.flatnonzero(mark).tolist()
+        ids, node = t.column("set_id").to_pylist(), t.column("node")[0].as_py()
+        return {"set_id": [ids[i] for i in at], "node": [node] * len(at)}
+
+    columns = members.select("node", "tree", "set_id", "n_shingles", "signature", "path", "root")
+    return _per_node(columns, "set_id binary, node long", group)
+
+
+def exact_links(members: DataFrame, join: Join) -> DataFrame:
+    """(a, b): links between different roots, confirmed on the full sets (set_id, node, root, shingles) that have come to a
+    node; as many as hold together what is linked there. Pairs that are no links leave no trace."""
+
+    def group(t: pa.Table) -> dict[str, list]:
+        ids, roots = t.column("set_id").to_pylist(), t.column("root").to_pylist()
+        code = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+        sets = t.column("shingles").combine_chunks()
+        ends = sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        n, every = np.diff(ends), sets.flatten().to_numpy()
+        shingle = np.unique(every, return_inverse=True)[1]
+        order = np.argsort(shingle, kind="stable")
+        holder, starts = np.repeat(np.arange(len(n)), n)[order], np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
+        joined, a, b = _Union(int(code.max()) + 1), [], []
+        for x in range(len(ids) - 1):
+            mine = shingle[ends[x] : ends[x + 1]]
+            many = starts[mine + 1] - starts[mine]
+            at = np.repeat(starts[mine] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            both = np.bincount(holder[at], minlength=len(n))[x + 1 :]
+            linked = (100 * both >= join.threshold * (n[x + 1 :] + n[x] - both)) & (code[x + 1 :] != code[x])
+            for y in (np.flatnonzero(linked) + x + 1).tolist():
+                if joined.join(int(code[x]), int(code[y])):
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        return {"a": a, "b": b}
 
-    sorted_members = members.select(*keys).repartition("node").sortWithinPartitions("node")
-    return sorted_members.mapInArrow(nodes, "a binary, b binary").distinct()
+    return _per_node(members.select("node", "set_id", "root", "shingles"), "a binary, b binary", group).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -359,23 +421,24 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     if over is not None:
         sets = stored(_full_sets(docs, over.join(first_ids, "set_id"), join, id_col, text_col))
         exact = prefix_nodes(sets, join)
-        met = met.unionByName(exact.where(F.col("count") <= join.leaf).select("set_id", "node"))
+        met = met.unionByName(exact.where(F.col("count") <= join.leaf).select("set_id", "node", F.lit(None).cast("int").alias("tree")))
         hot = exact.where(F.col("count") > join.leaf)
         hot = None if hot.isEmpty() else hot
     traits = vertices.select("set_id", "n_shingles", "signature")
-    near = met if hot is None else met.unionByName(_blocks(hot, join))
-    spanning = stored(similar_pairs(near.join(traits, "set_id"), join, across=False))
+    near = met.select("set_id", "node") if hot is None else met.select("set_id", "node").unionByName(_blocks(hot, join))
+    spanning = stored(spanning_pairs(near.join(traits, "set_id"), join))
     touched = stored(spanning.select(F.col("a").alias("set_id")).unionByName(spanning.select(F.col("b").alias("set_id"))).distinct())
     unread = touched if over is None else touched.join(over, "set_id", "left_anti")
     read = stored(_full_sets(docs, unread.join(first_ids, "set_id"), join, id_col, text_col))
     sets = read if sets is None else sets.unionByName(read)
     roots = components(confirmed(spanning, sets, join))
-    placed = touched.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+    placed = stored(touched.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", F.coalesce("root", "set_id").alias("root")))
     apart = met.join(placed, "set_id")
     if hot is not None:  # a vertex may have met none of its like in its block
-        apart = apart.unionByName(_block_pairs(hot, placed, join))
-    apart = similar_pairs(apart.join(traits, "set_id"), join, across=True)
-    more = confirmed(apart.join(spanning, ["a", "b"], "left_anti"), sets, join)
+        apart = apart.unionByName(_block_pairs(hot, placed, join).withColumn("tree", F.lit(None).cast("int")))
+    doubtful = contested(apart.join(vertices.select("set_id", "n_shingles", "signature", "path"), "set_id"), join)
+    rooted = sets.join(placed, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"), "shingles")
+    more = exact_links(doubtful.join(rooted, "set_id"), join)
     final = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     first = vertices.join(final, F.col("set_id") == F.col("v"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
     first = stored(first)
@@ -389,7 +452,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
     """(set_id, shingles) of the wanted vertices, from the documents that stand for them."""
-    word_odd, _, _ = join.multipliers()
+    word_odd, _ = join.multipliers()
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
         for _, text in flow:
