@@ -41,6 +41,7 @@ from tallyframe.llm.common import RecentDict, begin_memos, map_rows, stored, tex
 EDGES_A_TASK = 200_000
 SAMPLE = 5_000  # sets that tell which shingles are common
 COMMON = 100_000
+MARKS = 2**24  # hash values of ids, by which texts that are not wanted stay where they are
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -416,21 +417,21 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
         .agg(F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("path").alias("path"), F.any_value("signature").alias("signature"))
     )
     met, over = leaves(vertices, join)
-    first_ids = vertices.select("set_id", "first_id")
-    hot = sets = None
+    traits = vertices.select("set_id", "n_shingles", "signature")
+    spanning = stored(spanning_pairs(met.select("set_id", "node").join(traits, "set_id"), join))
+    touched = stored(_ends(spanning))
+    # the texts are read and sent once, for what is to be confirmed and for what is to be joined exactly
+    wanted = touched.withColumn("over", F.lit(False)) if over is None else _marked(touched, over)
+    sets = stored(_full_sets(docs, wanted.join(vertices.select("set_id", "first_id"), "set_id"), join, id_col, text_col))
+    hot = None
     if over is not None:
-        sets = stored(_full_sets(docs, over.join(first_ids, "set_id"), join, id_col, text_col))
-        exact = prefix_nodes(sets, join)
-        met = met.unionByName(exact.where(F.col("count") <= join.leaf).select("set_id", "node", F.lit(None).cast("int").alias("tree")))
+        exact = prefix_nodes(sets.where("over"), join)
+        cold = exact.where(F.col("count") <= join.leaf).select("set_id", "node", F.lit(None).cast("int").alias("tree"))
         hot = exact.where(F.col("count") > join.leaf)
         hot = None if hot.isEmpty() else hot
-    traits = vertices.select("set_id", "n_shingles", "signature")
-    near = met.select("set_id", "node") if hot is None else met.select("set_id", "node").unionByName(_blocks(hot, join))
-    spanning = stored(spanning_pairs(near.join(traits, "set_id"), join))
-    touched = stored(spanning.select(F.col("a").alias("set_id")).unionByName(spanning.select(F.col("b").alias("set_id"))).distinct())
-    unread = touched if over is None else touched.join(over, "set_id", "left_anti")
-    read = stored(_full_sets(docs, unread.join(first_ids, "set_id"), join, id_col, text_col))
-    sets = read if sets is None else sets.unionByName(read)
+        near = cold.select("set_id", "node") if hot is None else cold.select("set_id", "node").unionByName(_blocks(hot, join))
+        spanning = stored(spanning.unionByName(spanning_pairs(near.join(traits, "set_id"), join)).distinct())
+        touched, met = stored(_ends(spanning)), met.unionByName(cold)
     roots = components(confirmed(spanning, sets, join))
     placed = stored(touched.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", F.coalesce("root", "set_id").alias("root")))
     apart = met.join(placed, "set_id")
@@ -450,8 +451,28 @@ def near_duplicates(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id"
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
+
+def _marked(touched: DataFrame, over: DataFrame) -> DataFrame:
+    """(set_id, over) of the vertices of either, once each."""
+    both = touched.withColumn("over", F.lit(False)).unionByName(over.withColumn("over", F.lit(True)))
+    return both.groupBy("set_id").agg(F.bool_or("over").alias("over"))
+
+
+def _likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id has a hash that one of the ids has too: all that a join with them finds, and few others while
+    the ids are few beside ``MARKS``. The broadcast words hold one bit a hash, so their number is bounded."""
+    mark = F.expr(f"pmod(xxhash64(id), {MARKS}L)").alias("mark")
+    marks = ids.select(mark).select(F.expr("mark DIV 64").alias("word"), F.expr("shiftleft(1L, CAST(mark % 64 AS int))").alias("bit"))
+    words = marks.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = rows.select("id", "text", mark).join(F.broadcast(words), F.expr("mark DIV 64") == F.col("word"))
+    return found.where("shiftright(bits, CAST(mark % 64 AS int)) & 1L = 1L").select("id", "text")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """(set_id, shingles) of the wanted vertices, from the documents that stand for them."""
+    """(set_id, shingles, over) of the wanted vertices (set_id, first_id, over), from the documents that stand for them."""
     word_odd, _ = join.multipliers()
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
@@ -460,9 +481,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, join: Join, id_col: str, text
             if len(s):
                 yield np.array([s.sum(), _mix(s + np.uint64(len(s))).sum()], np.uint64).tobytes(), s.view(np.int64)
 
-    chosen = texts(docs, id_col, text_col).join(wanted.select(F.col("first_id").alias("id")), "id", "left_semi")
+    wanted = stored(wanted)
+    ids = wanted.select(F.col("first_id").alias("id"))
+    chosen = _likely(texts(docs, id_col, text_col), ids).join(ids, "id", "left_semi")
     made = map_rows(chosen, "set_id binary, shingles array<bigint>", rows, batch=200)
-    return made.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return made.join(wanted.select("set_id", "over"), "set_id").dropDuplicates(["set_id"])
 
 
 def keep_one(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -266,6 +266,30 @@ def test_recall_in_hot_nodes_is_that_of_cold_ones(docs):
     assert len(set(expected.values())) == 300 and not lost, len(lost)
 
 
+def test_texts_are_sent_once_and_few_unwanted_ones(spark, docs, monkeypatch):
+    """Before, what hot nodes hold was read apart from the rest, each time by sending all texts to their ids."""
+    sent, real = [], N._likely
+    monkeypatch.setattr(N, "_likely", lambda rows, ids: sent.append((real(rows, ids).count(), ids.distinct().count(), rows.count())) or real(rows, ids), raising=True)
+    plain = [(20_000 + i, f"{i} " + " ".join(f"{i}w{k}" for k in range(9))) for i in range(2000)]
+    rows = [*hot_rows(14, 240, 90), *plain, (None, "a b c d e f"), (None, None)]
+    got = {r["id"]: r["component_id"] for r in N.near_duplicates(docs(rows), N.Join(leaf=30, depth=1, pivots=3)).collect()}
+    assert len(sent) == 1 and 160 <= sent[0][1] <= sent[0][0] < 400 < 2000 < sent[0][2], sent
+    assert all(got[5000 + i] == i for i in range(0, 240, 3)) and all(got[i] == i for i, _ in plain)
+
+
+@pytest.mark.parametrize("marks", [2**24, 64, 200])
+def test_no_wanted_text_is_left_behind(spark, monkeypatch, marks):
+    monkeypatch.setattr(N, "MARKS", marks)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(-3000, 3000), None, 7, 7]], "id long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(-3000, 3000, 40), 7, 7]], "id long")
+    left = [r["id"] for r in N._likely(rows, ids).collect()]
+    assert {r["id"] for r in ids.collect()} <= set(left) and left.count(7) == 3 and len(left) == len(set(left)) + 2
+    assert len(left) < 200 or marks < 2**24
+    assert N._likely(rows, ids.limit(0)).count() == 0
+    names = rows.selectExpr("CAST(id AS string) AS id", "text")
+    assert {r["id"] for r in N._likely(names, names.where("id = '7'")).collect()} >= {"7"}
+
+
 def test_keep_one(docs):
     rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (3, "A b c d e f g"), (7, None), (8, ""), (None, "x y"), (9, "other words stand in here now")]
     left = N.keep_one(docs(rows))
