@@ -15,7 +15,8 @@ for vertices that look like one of another component. Only these take their full
 compared there exactly, and true links alone leave it, as many as hold the node's components together: groups of
 documents that are nearly near copies make no rows. A pair is looked at in the first tree that it shares a leaf of.
 Where more than ``leaf`` vertices share a shingle of their prefixes, the first pass looks at blocks with common
-pivots, the second at every two blocks, spread over tasks, but for blocks of one component.
+pivots, the second at every two blocks, spread over tasks, but for blocks of one component. Texts are read a second
+time, once, for the full sets of all vertices that either way wants.
 
 Nothing of data size reaches the driver; components are found by alternating large-star and small-star steps.
 
