@@ -37,9 +37,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallyframe.llm.common import RecentDict, begin_memos, map_rows, stored, texts
+from tallyframe.llm.common import begin_memos, map_rows, stored, texts
 
 EDGES_A_TASK = 200_000
+EDGES_A_NODE = 100_000  # similar pairs of one node that are held at a time
 SAMPLE = 5_000  # sets that tell which shingles are common
 COMMON = 100_000
 MARKS = 2**24  # hash values of ids, by which texts that are not wanted stay where they are
@@ -70,9 +71,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = RecentDict(500_000)
-
-
 def shingles(text: str | None, join: Join, odd: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
@@ -80,19 +78,7 @@ def shingles(text: str | None, join: Join, odd: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < join.words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    young = _WORDS.young
-    codes = []
-    for w in words:
-        h = young.get(w)
-        if h is None:
-            h = _WORDS.get(w)
-            if h is None:
-                h = xxhash.xxh3_64_intdigest(w)
-                if len(w) <= 64:
-                    _WORDS.put(w, h)
-            young = _WORDS.young
-        codes.append(h)
-    h = np.array(codes, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(h) - join.words + 1
     total = h[:n] * odd[0]
     for k in range(1, join.words):
@@ -106,7 +92,7 @@ def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataF
     word_odd, sig_odd = join.multipliers()
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
-        begin_memos("chosen_path", _WORDS.clear)
+        begin_memos("chosen_path")
         for i, text in flow:
             s = shingles(text, join, word_odd)
             if not len(s):
@@ -264,16 +250,43 @@ def spanning_pairs(members: DataFrame, join: Join) -> DataFrame:
 
     def group(t: pa.Table) -> dict[str, list]:
         ids = t.column("set_id").to_pylist()
-        found = [(-int(k), x, int(y)) for x, ys, agree in _alike(t.column("n_shingles").to_numpy(), _bytes_of(t, "signature", "u1", join.signature), join) for y, k in zip(ys, agree)]
-        joined, pairs = _Union(len(ids)), []
-        for _, x, y in sorted(found):
-            if joined.join(x, y):
-                pairs.append(sorted((ids[x], ids[y])))
+        alike = _alike(t.column("n_shingles").to_numpy(), _bytes_of(t, "signature", "u1", join.signature), join)
+        pairs = [sorted((ids[x], ids[y])) for x, y in _strongest(len(ids), alike)]
         return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}
 
     return _per_node(members.select("node", "set_id", "n_shingles", "signature"), "a binary, b binary", group).distinct()
 
 
+def _strongest(n: int, found: Iterator[tuple[int, np.ndarray, np.ndarray]], most: int | None = None) -> list[tuple[int, int]]:
+    """Of the edges (x, later ends, strengths) between ``n`` vertices the strongest that hold together what they join,
+    earlier ones first where they are equal.
+
+    A node of near copies has an edge for nearly every pair, so ``most`` are held at a time, beside those of one vertex:
+    what is not among the strongest of some edges is not among those of all.
+    """
+    most, held, met = max(most or EDGES_A_NODE, 4 * n), [], 0
+
+    def reduced() -> list[tuple[np.ndarray, ...]]:
+        x, y, strength = map(np.concatenate, zip(*held))
+        order = np.lexsort((y, x, -strength))
+        joined, kept = _Union(n), []
+        for at, a, b in zip(order.tolist(), x[order].tolist(), y[order].tolist()):
+            if joined.join(a, b):
+                kept.append(at)
+                if len(kept) == n - 1:
+                    break
+        return [(x[kept], y[kept], strength[kept])]
+
+    for x, ys, strength in found:
+        if len(ys):
+            held.append((np.full(len(ys), x, np.int32), ys.astype(np.int32), strength.astype(np.int32)))
+            met += len(ys)
+        if met >= most:
+            held = reduced()
+            met = len(held[0][0])
+    return [(x, y) for x, y in zip(*(c.tolist() for c in reduced()[0][:2]))] if held else []
+
+
 class _Union:
     """Which of some numbers have been joined."""
 

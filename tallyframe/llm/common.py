@@ -85,14 +85,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 _HELD: dict[str, Callable[[], None]] = {}
 
 
-def begin_memos(owner: str, drop: Callable[[], None]) -> None:
-    """Say that an operator begins to fill memos in this worker process: those of all others are dropped.
+def begin_memos(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """Say that an operator begins its work in this worker process: the memos of all others are dropped. ``drop``
+    drops its own, if it has any.
 
     Worker processes outlive the stages of a pipeline, so what each operator has learnt would else add up in them.
     """
     for name in [n for n in _HELD if n != owner]:
         _HELD.pop(name)()
-    _HELD[owner] = drop
+    if drop is not None:
+        _HELD[owner] = drop
 
 
 class RecentDict:

@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyframe.llm.common import free_name, stored
+from tallyframe.llm.common import begin_memos, free_name, stored
 
 #: Cue words of the grammar in English, German, French and Spanish.
 TARGETS = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie ihnen tu te toi ton ta tes vous votre vos usted ustedes tú ti tus".split())
@@ -230,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf("array<double>")
     def kind_sums(text: pd.Series, toxic: pd.Series) -> pd.Series:
+        begin_memos("toxicity")
         return pd.Series([features(t, model, bool(y)).tolist() for t, y in zip(text, toxic)])
 
     sample = chosen.select(kind_sums("text", "toxic").alias("x"), "toxic").groupBy("x", "toxic").count().collect()
@@ -265,6 +266,7 @@ def scored(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def rate(column: pd.Series) -> pd.Series:
+        begin_memos("toxicity")
         return pd.Series([score(t, model) for t in column], dtype="float64")
 
     return rate(text.cast("string"))
