@@ -139,6 +139,8 @@ _CODERS: dict[str, WordIds] = {}
 
 
 def coder(path: str) -> WordIds:
+    """One coder a process. Its memos are named here: what a task's own function names is sent to workers as a copy."""
+    begin_memos("packing", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = WordIds(path)
     return _CODERS[path]
@@ -148,7 +150,6 @@ def pieces(docs: DataFrame, path: str, classes: Classes, end_id: int, id_col: st
     """The pieces of every document, numbered within worker and class."""
 
     def rows(flow: Iterator[tuple]) -> Iterator[tuple]:
-        begin_memos("packing", _CODERS.clear)
         own, worker, numbers = coder(path), TaskContext.get().partitionId(), dict.fromkeys(classes.slots, 0)
         end = int(end_id).to_bytes(4, "little")
         for i, text in flow:

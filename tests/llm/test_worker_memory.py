@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chosen_path as N, common, quality as Q, toxicity as T
+from tallyframe.llm import chosen_path as N, common, packing as K, quality as Q, toxicity as T
+from tallyframe.llm.queries import tokenizer_path
 
 
 def node_of_copies(seed, n, least):
@@ -57,7 +59,7 @@ def test_a_node_of_copies_takes_little_memory(spark, monkeypatch):
     assert len(got["a"]) == 1399 and most < 40e6, most
 
 
-def test_stages_drop_the_memos_of_others(monkeypatch):
+def test_stages_drop_the_memos_of_others(spark, monkeypatch):
     """Before, what packing had learnt stayed in the workers while the next documents were rated and scored."""
     udfs, dropped = [], []
     monkeypatch.setattr(Q.F, "pandas_udf", lambda kind: lambda f: udfs.append(f) or (lambda *columns: None))
@@ -67,3 +69,19 @@ def test_stages_drop_the_memos_of_others(monkeypatch):
         common.begin_memos("packing", lambda: dropped.append("packing"))
         f(pd.Series(["some words here", None]))
     assert len(udfs) == 2 and dropped == ["packing", "packing"]
+
+
+def test_what_packing_has_learnt_is_dropped(docs, monkeypatch):
+    """Before, a worker dropped the empty copy of the memos that had come with the task, not its own."""
+    sent, path = [], tokenizer_path("word_bpe_49k.json")
+    monkeypatch.setattr(K, "map_rows", lambda df, schema, rows: sent.append(rows))
+    monkeypatch.setattr(K.TaskContext, "get", classmethod(lambda cls: cls()))
+    monkeypatch.setattr(K.TaskContext, "partitionId", lambda self: 0)
+    K.pieces(docs([]), path, K.Classes(), 2, "doc_id", "text")
+    K._CODERS.clear()
+    rows = cloudpickle.loads(cloudpickle.dumps(sent[0]))  # as a worker gets it
+    for _ in range(2):
+        assert [r[:3] for r in rows(iter([(7, "some words"), (8, None)]))][0][:2] == (7, 0)
+        assert list(K._CODERS) == [path]
+    common.begin_memos("quality")
+    assert not K._CODERS
